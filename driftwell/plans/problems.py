@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.operators.gridding import regular_grid
+from driftwell.operators.implausible import implausible
 from driftwell.operators.intervals import continuous_periods
 from driftwell.sources import table
 
@@ -29,7 +30,46 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return _grid(spark, folder).where("n_readings = 0").select("series_id", "cell_no")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid}
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """All three measurements as one list of readings, so that one exchange and one pass of forests serves them."""
+    scale = table(spark, folder, "channels").select("channel", "full_scale")
+    series = table(spark, folder, "timeseries").select("sample_id", "series_id", "channel", "timebase", "signal").join(scale, "channel", "left")
+    fits = table(spark, folder, "probe_fits").select("fit_id", "shot", "channel", "t_mid", "te", "resid")
+
+    def part(df: DataFrame, kind: int, a: str, b: Column, rec: str, time: str, value: str, no: Column) -> DataFrame:
+        v = F.col(value).cast("double")
+        return df.select(
+            F.lit(kind).alias("kind"), F.col(a).cast("long").alias("a"), b.alias("b"), F.concat(F.lit(f"{kind}/"), F.coalesce("channel", F.lit(""))).alias("ch"),
+            (F.col(rec).cast("long") * 4 + kind).alias("rec"), F.col(time).alias("t"), v.alias("v"), no.alias("no"),
+        )
+
+    none = F.lit(None).cast("string")
+    te, resid = F.col("te"), F.col("resid")
+    rows = (
+        part(series, 0, "series_id", none, "sample_id", "timebase", "signal", F.abs("signal") > 2 * F.col("full_scale"))
+        .unionByName(part(fits, 1, "shot", F.col("channel"), "fit_id", "t_mid", "te", (te <= 0) | (te > 10_000)))
+        .unionByName(part(fits, 2, "shot", F.col("channel"), "fit_id", "t_mid", "resid", (resid < 0) | (resid > 100)))
+    )
+    return implausible(rows, source=[F.col("kind"), F.col("a"), F.col("b")], time="t", value="v", reading_id="rec", impossible=F.col("no"), channel=F.col("ch"))
+
+
+def _named(judged: DataFrame) -> DataFrame:
+    kind = F.expr("cast(pmod(reading_id, 4) as int)")
+    names = F.when(kind == 0, F.lit("timeseries")).otherwise("probe_fits").alias("rec_table")
+    fields = F.when(kind == 0, F.lit("signal")).when(kind == 1, "te").otherwise("resid").alias("rec_field")
+    return judged.select(names, fields, F.expr("(reading_id - pmod(reading_id, 4)) div 4").alias("rec_id"), "score", "flagged")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _named(_judged(spark, folder).where("flagged")).select("rec_table", "rec_field", "rec_id")
+
+
+def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every reading with the score of its source's forest and whether it is flagged."""
+    return _named(_judged(spark, folder))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid, "p6_found": p6_found, "p6_scores": p6_scores}
 
 SQL = {
     "p3_found": """
