@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwell.operators.conversion import to_common_units
 from driftwell.operators.gridding import regular_grid
 from driftwell.operators.implausible import implausible
 from driftwell.operators.intervals import continuous_periods
@@ -30,6 +31,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return _grid(spark, folder).where("n_readings = 0").select("series_id", "cell_no")
 
 
+def p5_converted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every saved signal with its times in seconds and its peak in the common unit."""
+    return to_common_units(
+        table(spark, folder, "saved_signals"), record_id="save_id", quantity="quantity", value="peak_raw", units="units", text="params", scales="scales",
+        time_unit="time_unit_in_seconds", times=["t_first", "t_last"], common=table(spark, folder, "common_units"),
+    ).withColumnRenamed("record_id", "save_id")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    whole = lambda x, by: F.round(F.col(x) * by).cast("long")
+    cases = p5_converted(spark, folder).where(F.col("converted") & F.col("unit").isNotNull())
+    return cases.select("save_id", whole("t_last_s", 1_000_000).alias("t_last_us"), whole("value_common", 1000).alias("peak_milli"))
+
+
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     """All three measurements as one list of readings, so that one exchange and one pass of forests serves them."""
     scale = table(spark, folder, "channels").select("channel", "full_scale")
@@ -69,7 +84,7 @@ def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _named(_judged(spark, folder))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid, "p6_found": p6_found, "p6_scores": p6_scores}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_converted": p5_converted, "p6_found": p6_found, "p6_scores": p6_scores}
 
 SQL = {
     "p3_found": """
