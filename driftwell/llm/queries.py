@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwell.llm.clusters import Field, cluster_records, describe_clusters, successive_members
 from driftwell.llm.nearest import nearest_in_time
 from driftwell.sources import table
 
 
+def p1_labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of features with its campaign's group, -1 for none."""
+    fields = [Field("freq"), Field("kh"), Field("rms", log10=True)]
+    return cluster_records(table(spark, folder, "features"), record_id="indx", part=F.col("campaign"), fields=fields)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return successive_members(p1_labelled(spark, folder)).select(F.col("a").alias("indx_a"), F.col("b").alias("indx_b"))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each group's size and most typical records."""
+    return describe_clusters(p1_labelled(spark, folder))
+
+
 def p2_matched(spark: SparkSession, folder: str) -> DataFrame:
     """Each record of features that has a reading of its slow channel near enough, with the distance in time."""
     tol = table(spark, folder, "channels").select("channel", "match_tol_s")
@@ -24,7 +40,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_matched(spark, folder).select("indx", "sample_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_matched": p2_matched}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_labelled": p1_labelled, "p2_found": p2_found, "p2_matched": p2_matched}
 
 _NEAR = """
     WITH r AS (SELECT DISTINCT sample_id, shot, channel, timebase t FROM timeseries WHERE timebase IS NOT NULL AND signal IS NOT NULL AND NOT isnan(signal)),
