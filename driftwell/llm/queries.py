@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm.clusters import Field, cluster_records, describe_clusters, successive_members
+from driftwell.llm.leaks import find_leaks
 from driftwell.llm.nearest import nearest_in_time
 from driftwell.sources import table
 
@@ -40,7 +41,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_matched(spark, folder).select("indx", "sample_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_labelled": p1_labelled, "p2_found": p2_found, "p2_matched": p2_matched}
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text that holds an evaluation passage, with how much of it."""
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", passage="passage")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_labelled": p1_labelled, "p2_found": p2_found, "p2_matched": p2_matched, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 _NEAR = """
     WITH r AS (SELECT DISTINCT sample_id, shot, channel, timebase t FROM timeseries WHERE timebase IS NOT NULL AND signal IS NOT NULL AND NOT isnan(signal)),
