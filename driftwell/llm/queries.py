@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwell.llm.clusters import Field, cluster_records, describe_clusters, successive_members
 from driftwell.llm.leaks import find_leaks
+from driftwell.llm.mixing import mix_sources
 from driftwell.llm.nearest import nearest_in_time
 from driftwell.llm.spam import spam_pages
 from driftwell.sources import table
@@ -51,6 +52,20 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).select("doc_id", "item_id")
 
 
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), doc_id="doc_id", source="source", text="text")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text that the mix uses, how often, and its tokens."""
+    return _mix(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """What each source gives against its target."""
+    return _mix(spark, folder)[1]
+
+
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every page with the vote of the trees, its host's rate of spam and the smoothed score."""
     return spam_pages(table(spark, folder, "documents"), page_id="doc_id", text="text", host="site")
@@ -60,7 +75,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_scores(spark, folder).where("score > 0.5").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_labelled": p1_labelled, "p2_found": p2_found, "p2_matched": p2_matched, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_scores": p9_scores}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_labelled": p1_labelled, "p2_found": p2_found, "p2_matched": p2_matched, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
 
 _NEAR = """
     WITH r AS (SELECT DISTINCT sample_id, shot, channel, timebase t FROM timeseries WHERE timebase IS NOT NULL AND signal IS NOT NULL AND NOT isnan(signal)),
