@@ -23,8 +23,8 @@ def _grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Every cell of every series with its filled level, weighted mean, coverage and number of readings."""
-    return _grid(spark, folder)
+    """Every cell of every series with its filled level, weighted mean, coverage and number of readings; sums in single precision, for comparing."""
+    return _grid(spark, folder).select("series_id", "cell_no", "level", F.col("mean").cast("float").alias("mean"), F.col("coverage").cast("float").alias("coverage"), "n_readings")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,7 +106,7 @@ SQL = {
         n AS (SELECT *, lead(t, 1, t) OVER (PARTITION BY series_id ORDER BY t, v, sample_id) nt FROM r),
         x AS (SELECT *, unnest(range(c, greatest(c, CAST(floor(nt / d) AS BIGINT)) + 1)) AS cell_no FROM n),
         h AS (SELECT *, greatest(0, least(nt, t + d, cell_no * d + d) - greatest(t, cell_no * d)) w FROM x)
-        SELECT series_id, cell_no, arg_max(v, (t, v)) AS level, CASE WHEN sum(w) > 0 THEN sum(v * w) / sum(w) END AS mean,
-               least(1.0, sum(w) / max(d)) AS coverage, sum(CASE WHEN c = cell_no THEN 1 ELSE 0 END) AS n_readings
+        SELECT series_id, cell_no, arg_max(v, (t, v)) AS level, CAST(CASE WHEN sum(w) > 0 THEN sum(v * w) / sum(w) END AS FLOAT) AS mean,
+               CAST(least(1.0, sum(w) / max(d)) AS FLOAT) AS coverage, sum(CASE WHEN c = cell_no THEN 1 ELSE 0 END) AS n_readings
         FROM h GROUP BY series_id, cell_no""",
 }
