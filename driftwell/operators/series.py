@@ -22,6 +22,10 @@ def over(keys: Sequence[str], *order: str | Column) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
 def calibrate(samples: DataFrame, channels: DataFrame, *, value: str = "signal", channel: str = "channel", full_scale: str = "full_scale", gain: str | None = None) -> DataFrame:
     """Values times their channel's gain, null where NaN or beyond twice the full scale. Channels that are not listed are left as they are.
 
@@ -195,7 +199,7 @@ def delta_decode(samples: DataFrame, keys: Sequence[str], order: str, *, value:
 def regular_times(samples: DataFrame, keys: Sequence[str], order: str, *, time: str, digits: int = 6) -> DataFrame:
     """Repairs times: x0 + k * step with each stretch's commonest step; ``repaired`` and ``off`` (in steps) are added."""
     w = over(keys, order)
-    d = samples.withColumn("__d", F.round(F.col(time) - F.lag(time).over(w), digits)).withColumn("__k", F.row_number().over(w) - 1)
+    d = samples.withColumn("__d", _rounded(F.col(time) - F.lag(time).over(w), digits)).withColumn("__k", F.row_number().over(w) - 1)
     common = d.where("__d is not null").groupBy(*keys, "__d").count()
     best = common.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max_by("__d", F.struct("count", -F.col("__d"))).alias("__step"))
     rows = d.withColumn("__x0", F.first(time).over(w.rowsBetween(Window.unboundedPreceding, 0))).join(best, [F.col(k) == F.col(f"__{k}") for k in keys])
@@ -205,7 +209,7 @@ def regular_times(samples: DataFrame, keys: Sequence[str], order: str, *, time:
 
 def step_counts(samples: DataFrame, keys: Sequence[str], *, time: str, digits: int = 5, top: int = 5) -> DataFrame:
     """The commonest steps of time of each stretch: step, n, place."""
-    d = samples.select(*keys, F.round(F.col(time) - F.lag(time).over(over(keys, time)), digits).alias("step")).where("step is not null")
+    d = samples.select(*keys, _rounded(F.col(time) - F.lag(time).over(over(keys, time)), digits).alias("step")).where("step is not null")
     n = d.groupBy(*keys, "step").agg(F.count("*").alias("n"))
     return n.withColumn("place", F.row_number().over(over(keys, F.desc("n"), "step"))).where(F.col("place") <= top)
 
@@ -253,6 +257,6 @@ def islands(samples: DataFrame, keys: Sequence[str], order: str, on: Column) ->
 
 
 def gated_means(samples: DataFrame, keys: Sequence[str], *, time: str, clock: str, values: Sequence[str]) -> DataFrame:
-    """Means of time and values over each interval in which the clock is above its own mean."""
-    rows = samples.withColumn("__high", F.coalesce(F.col(clock) > F.avg(clock).over(Window.partitionBy(*keys)), F.lit(False)))
+    """Means of time and values over each interval in which the clock is above its own mean, by more than rounding."""
+    rows = samples.withColumn("__high", F.coalesce(F.col(clock) - 1e-9 > F.avg(clock).over(Window.partitionBy(*keys)), F.lit(False)))
     return islands(rows, keys, time, F.col("__high")).groupBy(*keys, "island").agg(F.avg(time).alias("t_mean"), *[F.avg(v).alias(f"{v}_mean") for v in values], F.count("*").alias("n"))

@@ -220,16 +220,16 @@ SQL = {
     "ts_shift": f"{_C} SELECT sample_id, lag(signal, 3) OVER ({_W}) signal FROM c",
     "ts_delta_decode": f"""{_C}, d AS (SELECT *, coalesce(CAST(round((signal - lag(signal) OVER ({_W})) * 1000) AS BIGINT), 0) q FROM k)
         SELECT sample_id, CAST(sum(q) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) delta FROM d""",
-    "ts_regular_times": f"""{_C}, d AS (SELECT *, round(timebase - lag(timebase) OVER ({_W}), 4) d, {_I} j, first_value(timebase) OVER ({_W}) x0 FROM c),
+    "ts_regular_times": f"""{_C}, d AS (SELECT *, floor((timebase - lag(timebase) OVER ({_W})) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE d, {_I} j, first_value(timebase) OVER ({_W}) x0 FROM c),
         n AS (SELECT series_id, d, count(*) n FROM d WHERE d IS NOT NULL GROUP BY ALL), b AS (SELECT series_id, arg_max(d, (n, -d)) s FROM n GROUP BY ALL)
         SELECT sample_id, CAST(x0 + j * s AS FLOAT) repaired, CAST(CASE WHEN s <> 0 THEN abs(timebase - (x0 + j * s)) / s END AS FLOAT) off FROM d JOIN b USING (series_id)""",
-    "ts_step_counts": f"""{_C}, d AS (SELECT series_id, round(timebase - lag(timebase) OVER ({_W}), 4) step FROM c), n AS (SELECT series_id, step, count(*) n FROM d WHERE step IS NOT NULL GROUP BY ALL)
+    "ts_step_counts": f"""{_C}, d AS (SELECT series_id, floor((timebase - lag(timebase) OVER ({_W})) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE step FROM c), n AS (SELECT series_id, step, count(*) n FROM d WHERE step IS NOT NULL GROUP BY ALL)
         SELECT series_id, step, n, row_number() OVER (PARTITION BY series_id ORDER BY n DESC, step) place FROM n QUALIFY place <= 5""",
     "ts_crossings": f"""{_C}, l AS (SELECT series_id, timebase t, signal - avg(signal) OVER ({_W} ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) d FROM k),
         p AS (SELECT *, lag(t) OVER w pt, lag(d) OVER w pd FROM l WINDOW w AS (PARTITION BY series_id ORDER BY t))
         SELECT series_id, count(*) n, round(sum(pt + (t - pt) * pd / (pd - d)), 4) sum_t_cross FROM p WHERE pd * d < 0 OR (d = 0 AND pd <> 0) GROUP BY ALL""",
     "ts_trapezoid": f"""{_C}, p AS (SELECT series_id, (lead(timebase) OVER ({_W}) - timebase) * (lead(signal) OVER ({_W}) + signal) / 2 a FROM k) SELECT series_id, round(coalesce(sum(a), 0), 5) integral FROM p GROUP BY ALL""",
-    "ts_gated_means": f"""{_C}, h AS (SELECT *, signal > avg(signal) OVER (PARTITION BY series_id) o FROM k),
+    "ts_gated_means": f"""{_C}, h AS (SELECT *, signal - 1e-9 > avg(signal) OVER (PARTITION BY series_id) o FROM k),
         e AS (SELECT *, CASE WHEN o AND NOT coalesce(lag(o) OVER ({_W}), FALSE) THEN 1 ELSE 0 END e FROM h), g AS (SELECT *, CAST(sum(e) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) island FROM e)
         SELECT series_id, island, CAST(avg(timebase) AS FLOAT) t_mean, CAST(avg(signal) AS FLOAT) signal_mean, count(*) n FROM g WHERE o GROUP BY series_id, island""",
     "ts_pulse_times": f"""{_C}, a AS (SELECT *, signal - avg(signal) OVER w f FROM k WINDOW w AS ({_W} ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING)),
