@@ -23,8 +23,7 @@ def quality(features: DataFrame, *, max_h: float, min_p: float, min_svs: int) ->
 def value_counts(df: DataFrame, column: str, *, top: int | None = None) -> DataFrame:
     """value, n, percent of each value, most frequent first; null is a value."""
     n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("__t"))
-    out = n.crossJoin(F.broadcast(total)).select("value", "n", (100.0 * F.col("n") / F.col("__t")).alias("percent"))  # one row
+    out = n.select("value", "n", (100.0 * F.col("n") / n.agg(F.sum("n")).scalar()).alias("percent"))
     return out.orderBy(F.desc("n"), "value").limit(top) if top else out
 
 
@@ -38,11 +37,11 @@ def column_info(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int, *, percent: float = 100.0) -> DataFrame:
     """bin, lower, n over the values whose magnitude is within the given percentile of magnitudes."""
     v = df.select(finite(column).alias("v")).where("v is not null")
-    edge = v.agg(F.percentile(F.abs("v"), percent / 100.0).alias("__e"))
-    v = v.crossJoin(F.broadcast(edge)).where(F.abs("v") <= F.col("__e")).select("v")  # one row
-    ends = v.agg(F.min("v").alias("__a"), F.max("v").alias("__b"))
+    v = v.where(F.abs("v") <= v.agg(F.percentile(F.abs("v"), percent / 100.0)).scalar())
+    low, high = v.agg(F.min("v")).scalar(), v.agg(F.max("v")).scalar()
+    ends = v.select("v", low.alias("__a"), high.alias("__b"))
     b = F.least(F.floor((F.col("v") - F.col("__a")) / (F.col("__b") - F.col("__a")) * bins), F.lit(bins - 1)).cast("int")
-    binned = v.crossJoin(F.broadcast(ends)).select(F.when(F.col("__b") > F.col("__a"), b).otherwise(0).alias("bin"), "__a", "__b")  # one row
+    binned = ends.select(F.when(F.col("__b") > F.col("__a"), b).otherwise(0).alias("bin"), "__a", "__b")
     return binned.groupBy("bin").agg(F.min(F.col("__a") + F.col("bin") * (F.col("__b") - F.col("__a")) / bins).alias("lower"), F.count("*").alias("n"))
 
 
@@ -224,9 +223,8 @@ def lag_matched(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag:
 
 def neighbours(df: DataFrame, index: str) -> DataFrame:
     """A set of indices with those beside them, but none below its least or above its greatest."""
-    ends = df.agg(F.min(index).alias("__a"), F.max(index).alias("__b"))
     wide = df.select(F.explode(F.array(F.col(index) - 1, F.col(index), F.col(index) + 1)).alias(index)).distinct()
-    return wide.crossJoin(F.broadcast(ends)).where(F.col(index).between(F.col("__a"), F.col("__b"))).select(index)  # one row
+    return wide.where(F.col(index).between(df.agg(F.min(index)).scalar(), df.agg(F.max(index)).scalar()))
 
 
 def flip_by_sign(df: DataFrame, phases: str, field: Column) -> DataFrame:
