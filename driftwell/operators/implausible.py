@@ -69,10 +69,14 @@ def judge(src: np.ndarray, v: np.ndarray, rests: np.ndarray, *, cut: float, run:
     # The usual scatter: of readings that don't repeat, else stuck ones would make it small.
     free = run_length < run
     scatter = 1.4826 * _median_of(np.abs(off[free]), group[free], n_groups)
+    # On a steep slope the level is the reading itself; second differences show the scatter there.
+    i = np.arange(n)
+    inner = free & (i > start) & (i + 1 < stop)
+    second = v[np.maximum(i - 1, 0)] - 2 * v + v[np.minimum(i + 1, n - 1)]
+    scatter = np.fmax(scatter, 1.4826 / np.sqrt(6) * _median_of(np.abs(second[inner]), group[inner], n_groups))
     spread = _median_of(np.abs(v - _median_of(v, group, n_groups)[group]), group, n_groups)
     unit_of = np.where(np.nan_to_num(scatter) > 0, scatter, np.where(spread > 0, spread, 1.0))
     s = unit_of[group]
-    i = np.arange(n)
     before, after = np.where(i > start, np.abs(v - v[np.maximum(i - 1, 0)]), 0.0), np.where(i + 1 < stop, np.abs(v - v[np.minimum(i + 1, n - 1)]), 0.0)
     # Season: distance from the nearer of the two readings one lag away, at the lag where the source repeats itself best.
     best, best_cost = np.zeros(n), np.full(n_groups, np.inf)
@@ -99,16 +103,15 @@ def judge(src: np.ndarray, v: np.ndarray, rests: np.ndarray, *, cut: float, run:
 
 def implausible(
     readings: DataFrame, *, source: list[Column], time: str, value: str, reading_id: str, impossible: Column, channel: Column,
-    cut: float = 8.0, run: int = 8, suspicion: float = 0.36, trees: int = 16, sample: int = 64, longest: int = 100_000,
+    cut: float = 6.5, run: int = 8, suspicion: float = 0.36, trees: int = 16, sample: int = 64, longest: int = 100_000,
 ) -> DataFrame:
     """Readings with reading_id, score, flagged: an isolation forest per source on level, difference, season and run length, and rules.
 
     A reading is flagged if it breaks the explicit rule ``impossible`` (a physical limit), or if its source's forest holds it suspect
     (score of at least ``suspicion``) and an exact look agrees: it stands alone, or with at most two neighbours, more than ``cut``
     usual scatters from the level around it, or it is one of ``run`` or more successive equal values. ``cut`` is a little above the
-    six scatters that faults exceed, since a source's scatter is itself known only within a few parts in ten; readings of normal
-    sources reach seven, real spikes begin beyond ten. Channels that rest on a few fixed levels, which is told from all readings of the
-    channel, have only the rule.
+    six scatters that faults exceed, as a source's scatter is itself only known from its readings. Channels that rest on a few fixed
+    levels, which is told from all readings of the channel, have only the rule.
 
     Sources are brought together by one exchange and sorted; whole sources are worked on in numpy batches of bounded size. A source of
     more than ``longest`` readings is cut by time into pieces of about that number, so that no task holds an unbounded source.

@@ -23,7 +23,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     f = table(spark, folder, "features").where("fs_time is not null and freq is not null and rms is not null and not isnan(freq) and not isnan(rms) and not isnan(fs_time)")
     out = text.fluctuation_lines(f.select("shot", F.col("fs_time").alias("t_mid"), "svs", "freq", F.col("rms").alias("amp"), "a12", "p", "h", "phases"))
     good, _ = text.parse_fluctuation_lines(out, phases=4)
-    return good.groupBy("shot").agg(F.count("*").alias("n"), F.round(F.sum("freq"), 2).alias("freq"), F.sum("svs").alias("svs"), F.round(F.sum(F.get("phases", F.lit(0))), 1).alias("first_phase"))
+    return good.groupBy("shot").agg(F.count("*").alias("n"), F.round(F.sum("freq"), 3).alias("freq"), F.sum("svs").alias("svs"), F.round(F.sum(F.get("phases", F.lit(0))), 2).alias("first_phase"))
 
 
 def quantised(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +57,7 @@ QUERIES = {f"io_{f.__name__}": f for f in (sine, lines, quantised, arff, paramet
 _OK = "fs_time IS NOT NULL AND freq IS NOT NULL AND rms IS NOT NULL AND NOT isnan(freq) AND NOT isnan(rms) AND NOT isnan(fs_time)"
 SQL = {
     "io_sine": "SELECT channel, CAST(i AS INTEGER) i, round(full_scale * sin(2 * pi() * i / 64), 6) AS signal FROM channels, range(64) t(i)",
-    "io_lines": f"SELECT shot, count(*) n, round(sum(freq), 2) freq, CAST(sum(svs) AS BIGINT) svs, round(sum(phases[1]::DOUBLE), 1) first_phase FROM features WHERE {_OK} GROUP BY shot",
+    "io_lines": f"SELECT shot, count(*) n, round(sum(freq), 3) freq, CAST(sum(svs) AS BIGINT) svs, round(sum(phases[1]::DOUBLE), 2) first_phase FROM features WHERE {_OK} GROUP BY shot",
     "io_arff": "SELECT indx, 7 AS n_fields FROM features",
     "io_parameters": "SELECT 'k' AS key, count(*) n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) total FROM events WHERE json_extract(props, '$.k') IS NOT NULL",
 }
