@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BLOCK = 4
 #: Width of the bands of offsets (place in the text less place in the passage) in which hits are brought together.
 BAND = 32
+#: Part of the number of texts up to which a term's frequency is rare.
+RARE = 0.0005
 #: Terms of the passages up to which they are broadcast; beyond that they are joined by shuffling.
 BROADCAST_TERMS = 1_000_000
 
@@ -79,7 +81,7 @@ def find_leaks(
     words altered, replaced, dropped or added between. A passage of fewer than ``run`` words is held where all its words stand together.
 
     1. The texts' positional index, whose terms are pairs of successive words, gives the frequency of the passages' terms over all texts.
-    2. Each block of four places of a passage gives its rarest term. The postings of these terms, less their place in the passage, are
+    2. Each block of four places of a passage gives its rarest term, and all terms as rare as RARE are taken. The postings of these terms, less their place in the passage, are
        brought together by text, passage and band of offsets; two different terms in one band make a candidate. Sixteen words in a
        row hold at least two whole blocks with the word after, so no exact match can be missed; an altered half of a passage has many
        blocks, most of which keep their term.
@@ -105,6 +107,9 @@ def find_leaks(
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr("cast(__l as int) div 4")))
     anchors = ranked.join(length, "item").groupBy("item", F.floor(F.col("ipos") / block).alias("__block")).agg(F.min(F.struct("n", "ipos", "term")).alias("__a"))
     anchors = anchors.select("item", F.col("__a.ipos").alias("ipos"), F.col("__a.term").alias("term"))
+    # All terms that are rare anyway search as well: in a text altered at many places the rarest of a block may be just the altered ones.
+    rare = ranked.where(F.col("n") <= F.greatest(F.lit(20), F.lit(RARE) * docs.agg(F.count("*")).scalar())).select("item", "ipos", "term")
+    anchors = anchors.unionByName(rare).distinct()
     hits = postings.join(small(anchors), "term").select("doc", "item", "ipos", (F.col("pos") - F.col("ipos")).alias("__d"))
     # Bands overlap by half, so that offsets that drift over a border still meet.
     hits = hits.select("doc", "item", "ipos", F.explode(F.array(F.floor(F.col("__d") / BAND) * 2, F.floor((F.col("__d") + BAND // 2) / BAND) * 2 + 1)).alias("__band"))

@@ -84,7 +84,7 @@ def features(text: str | None) -> np.ndarray | None:
             code += size
         elif marks and marks * 3 >= len(tokens):
             links += size
-        elif OFFER.search(s) and few <= 1 and len(tokens) <= 16:
+        elif OFFER.search(s) and few <= 1 and len(tokens) <= 16 and len(letters) >= 2:
             offers += size
         elif len(letters) >= 3 and few / max(1, len(letters)) >= 0.14 and one < 0.3 * len(low) and distinct > 0.5 and s.count("#") < 3:
             prose += size
