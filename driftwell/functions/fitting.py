@@ -117,12 +117,16 @@ def fit_probe(v: np.ndarray, i: np.ndarray, *, norm: float = 2.0, start: Sequenc
         raise ValueError("too few points")
     first = list(start or [50.0, 15.0, 1.7 * float(np.mean(np.clip(i, 0, None)))])
     first[2] = first[2] or 1e-6
+    # The temperature is fitted as its logarithm, which keeps it positive.
+    first[0] = np.log(max(first[0], 1e-3))
+    real = lambda q: (float(np.exp(np.clip(q[0], -20, 20))), float(q[1]), float(q[2]))
     if norm == 2.0:
-        p, cov, n = least_squares(lambda q: probe_current(v, q[0] if abs(q[0]) > 1e-3 else 1e-3, q[1], q[2]) - i, first, steps=steps)
-        errors = np.sqrt(np.maximum(np.diag(cov), 0))
+        q, cov, n = least_squares(lambda q: probe_current(v, *real(q)) - i, first, steps=steps)
+        errors = np.sqrt(np.maximum(np.diag(cov), 0)) * [real(q)[0], 1, 1]
     else:
-        p, _, n = simplex(lambda q: float(np.mean(np.abs(probe_current(v, q[0] if abs(q[0]) > 1e-3 else 1e-3, q[1], q[2]) - i) ** norm)), first, [0.3 * abs(x) + 1e-6 for x in first], steps=steps * 5)
+        q, _, n = simplex(lambda q: float(np.mean(np.abs(probe_current(v, *real(q)) - i) ** norm)), first, [0.5, 0.3 * abs(first[1]) + 1e-6, 0.3 * abs(first[2]) + 1e-9], steps=steps * 5)
         errors = np.full(3, np.nan)
+    p = real(q)
     resid = float(np.sqrt(np.mean((probe_current(v, *p) - i) ** 2)) / abs(p[2])) if p[2] else np.inf
     return {"te": p[0], "vf": p[1], "i0": p[2], "e_te": errors[0], "e_vf": errors[1], "e_i0": errors[2], "resid": resid, "nits": n}
 

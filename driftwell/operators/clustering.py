@@ -69,18 +69,21 @@ def labelled(points: DataFrame, of: Callable[[np.ndarray], tuple[np.ndarray, np.
     return points.mapInPandas(work, f"id {kind}, cluster int, weight double")
 
 
-def _start(points: DataFrame, k: int, seed: int) -> np.ndarray:
+def _start(points: DataFrame, k: int, seed: int, angles: int | None = None) -> np.ndarray:
     """k starting rows: spread out among the 50 * k rows with the smallest hashes."""
     some = np.array([r["x"] for r in points.orderBy(F.xxhash64("id", F.lit(seed))).limit(50 * k).select("x").collect()])
     if not len(some):
         raise ValueError("no rows to cluster")
+    n = some.shape[1] if angles is None else angles
+    scale = np.where(some[:, n:].std(axis=0) > 0, some[:, n:].std(axis=0), 1.0)
+    distance = lambda c: _circular2(some[:, :n], c[:, :n])[:, 0] + (((some[:, n:] - c[:, n:]) / scale) ** 2).sum(axis=1)
     rng = np.random.default_rng(seed)
     chosen = [0]
-    far = _circular2(some, some[:1])[:, 0]
+    far = distance(some[:1])
     while len(chosen) < min(k, len(some)):
         p = far / far.sum() if far.sum() > 0 else np.full(len(some), 1 / len(some))
         chosen.append(int(rng.choice(len(some), p=p)))
-        far = np.minimum(far, _circular2(some, some[chosen[-1:]])[:, 0])
+        far = np.minimum(far, distance(some[chosen[-1:]]))
     return some[chosen]
 
 
@@ -187,7 +190,7 @@ def fit_mixture(
     the likelihood by less than 1e-4 of itself, or after ``passes``. ``hard`` gives each row to one cluster, ``tied`` makes a cluster's
     deviations equal (a spherical mixture).
     """
-    mu = start if start is not None else _start(points, k, seed)
+    mu = start if start is not None else _start(points, k, seed, angles)
     k, dims = mu.shape
     width = np.where(np.arange(dims) < angles, 2.0, 1.0) * np.ones((k, dims))
     if angles < dims:
