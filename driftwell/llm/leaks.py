@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +13,28 @@ from pyspark.sql import functions as F
 BLOCK = 4
 #: Width of the bands of offsets (place in the text less place in the passage) in which hits are brought together.
 BAND = 32
+#: Different terms of a passage in one band that make a candidate, fewer only for passages of fewer blocks. A run of 16 words holds three whole blocks of places.
+NEED = 3
 #: Part of the number of texts up to which a term's frequency is rare.
 RARE = 0.0005
 #: Terms of the passages up to which they are broadcast; beyond that they are joined by shuffling.
 BROADCAST_TERMS = 1_000_000
 
-# What is taken out of a text before it is cut into words, in this order (pattern, replacement).
-CLEANING = [
+# What is taken out of a text before it is cut into words, in this order (pattern, replacement). Texts that don't hold a MARK
+# need only what is in PLAIN.
+MARKS = "[&\\\\<\\u00AD\\u200B-\\u200D\\u2060\\uFEFF\\u00A0\\u2010\\u2011]|\\]\\(|=\\r?\\n|=20|-[ \\t]*\\r?\\n"
+MARKED = [
     # nothing: invisible characters, soft line breaks of mail, quotes as entities or escapes, markup within words
     ("[\\u00AD\\u200B-\\u200D\\u2060\\uFEFF]|=\\r?\\n|&(?:quot|apos|#39|#[xX]27|#34|#[xX]22|shy);|\\\\u(?!00[aA2]0)[0-9a-fA-F]{4}|\\\\[\"'/\\\\]"
      "|(?i:</?(?:b|i|em|strong|span|u|s|a|code|font|sub|sup|mark|small|tt)\\b[^<>]*>)", ""),
     # words cut at a line's end, whatever quotes the next line
     ("(?<=[\\p{L}\\p{N}])[-\\u2010\\u2011][ \\t]*\\r?\\n[>\\s|#*]*(?=[\\p{L}\\p{N}])", ""),
-    # a space: other entities, escapes and markup, links of markdown, dashes, and marks without a space after them
-    ("=20(?=\\r?\\n)|&(?:[a-zA-Z]{2,8}|#\\d{1,6}|#[xX][0-9a-fA-F]{1,5});|\\u00A0|\\\\(?:[nrt]|u00[aA2]0)|<[!/]?[A-Za-z][^<>]{0,300}>|\\]\\([^)\\s]*\\)"
-     "|[\\u2012-\\u2015/|]|[,;:!?](?=[\\p{L}\\p{N}])|\\.(?=\\p{L})", " "),
+    # a space: other entities, escapes and markup, links of markdown
+    ("=20(?=\\r?\\n)|&(?:[a-zA-Z]{2,8}|#\\d{1,6}|#[xX][0-9a-fA-F]{1,5});|\\u00A0|\\\\(?:[nrt]|u00[aA2]0)|<[!/]?[A-Za-z][^<>]{0,300}>|\\]\\([^)\\s]*\\)", " "),
+]
+PLAIN = [
+    # a space for dashes and for marks without a space after them
+    ("[\\u2012-\\u2015/|]|[,;:!?](?=[\\p{L}\\p{N}])|\\.(?=\\p{L})", " "),
     # punctuation, also within words
     ("[^\\p{L}\\p{N}\\s]+", ""),
 ]
@@ -34,9 +42,14 @@ CLEANING = [
 
 def words(text: Column) -> Column:
     """The words of a text, without case, punctuation, line breaks, hyphenation, markup, quoting and escaping; null for a null text."""
-    t = text
-    for pattern, replacement in CLEANING:
-        t = F.regexp_replace(t, F.lit(pattern), F.lit(replacement))
+
+    def clean(patterns: list[tuple[str, str]]) -> Column:
+        t = text
+        for pattern, replacement in patterns:
+            t = F.regexp_replace(t, F.lit(pattern), F.lit(replacement))
+        return t
+
+    t = F.when(F.rlike(text, F.lit(MARKS)), clean([*MARKED, *PLAIN])).otherwise(clean(PLAIN))
     return F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
 
 
@@ -82,8 +95,8 @@ def find_leaks(
 
     1. The texts' positional index, whose terms are pairs of successive words, gives the frequency of the passages' terms over all texts.
     2. Each block of four places of a passage gives its rarest term, and all terms as rare as RARE are taken. The postings of these terms, less their place in the passage, are
-       brought together by text, passage and band of offsets; two different terms in one band make a candidate. Sixteen words in a
-       row hold at least two whole blocks with the word after, so no exact match can be missed; an altered half of a passage has many
+       brought together by text, passage and band of offsets; NEED different terms in one band make a candidate. Sixteen words in a
+       row hold three whole blocks, so no exact match can be missed; an altered half of a passage has many
        blocks, most of which keep their term.
     3. Candidates are aligned word by word.
 
@@ -100,7 +113,9 @@ def find_leaks(
     vocabulary = terms.select("term").distinct()
     small = F.broadcast if vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
     postings = index if index is not None else positional_index(docs, "doc", "__text")
-    counts = postings.join(small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    # Only postings of the passages' terms go on; they are kept, as both the counts and the search need them.
+    postings = postings.join(small(vocabulary), "term").persist(StorageLevel.MEMORY_AND_DISK)
+    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
     ranked = terms.join(counts, "term", "left").select("item", "ipos", "term", F.coalesce("n", F.lit(0)).alias("n"))
     # Short passages have smaller blocks, so that two terms can hit.
     length = terms.groupBy("item").agg(F.count("*").alias("__l"))
@@ -113,20 +128,24 @@ def find_leaks(
     hits = postings.join(small(anchors), "term").select("doc", "item", "ipos", (F.col("pos") - F.col("ipos")).alias("__d"))
     # Bands overlap by half, so that offsets that drift over a border still meet.
     hits = hits.select("doc", "item", "ipos", F.explode(F.array(F.floor(F.col("__d") / BAND) * 2, F.floor((F.col("__d") + BAND // 2) / BAND) * 2 + 1)).alias("__band"))
-    near = hits.groupBy("doc", "item", "__band").agg(F.min("ipos").alias("__lo"), F.max("ipos").alias("__hi"))
-    single = length.where("__l = 1").select("item", F.lit(True).alias("__one"))
-    near = near.join(F.broadcast(single) if small is F.broadcast else single, "item", "left").where((F.col("__lo") < F.col("__hi")) | F.col("__one"))
-    pairs = near.select("doc", "item").distinct()
-    rows = pairs.join(docs, "doc").join(small(tests), "item").select("doc", "item", words(F.col("__text")).alias("__t"), "__p")
+    need = F.least(F.lit(NEED), F.greatest(F.lit(1), F.expr("(__l + 1 - block) div block")))
+    needed = length.withColumn("block", block).select("item", need.alias("__need"))
+    near = hits.groupBy("doc", "item", "__band").agg(F.size(F.collect_set("ipos")).alias("__hits")).join(small(needed), "item").where(F.col("__hits") >= F.col("__need"))
+    pairs = near.select("doc", "item").distinct().join(small(tests), "item").groupBy("doc").agg(F.collect_list(F.struct("item", F.col("__p").alias("p"))).alias("__items"))
+    rows = pairs.join(docs, "doc").select("doc", "__items", words(F.col("__text")).alias("__t"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [align(list(p), list(t)) for p, t in zip(b["__p"], b["__t"], strict=True)]
-            size = b["__p"].map(len)
-            out = pd.DataFrame({"doc": b["doc"], "item": b["item"], "matched": [m for m, _ in got], "longest_run": [r for _, r in got]})
-            out["share"] = out["matched"] / size
-            yield out[((out["longest_run"] >= size.clip(upper=run)) | ((out["share"] >= share) & (size >= run)))]
-
-    ids = {f.name: f.dataType.simpleString() for f in rows.select("doc", "item").schema}
+            out = []
+            for doc, tests_of, t in zip(b["doc"], b["__items"], b["__t"], strict=True):
+                t = list(t)
+                for x in tests_of:
+                    size = len(x["p"])
+                    matched, longest = align(list(x["p"]), t)
+                    if longest >= min(run, size) or (matched >= share * size and size >= run):
+                        out.append((doc, x["item"], matched, longest, matched / size))
+            yield pd.DataFrame(out, columns=["doc", "item", "matched", "longest_run", "share"])
+
+    ids = {"doc": docs.schema["doc"].dataType.simpleString(), "item": tests.schema["item"].dataType.simpleString()}
     found = rows.mapInPandas(verify, f"doc {ids['doc']}, item {ids['item']}, matched int, longest_run int, share double").dropDuplicates(["doc", "item"])
     return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "matched", "share", "longest_run")
