@@ -34,43 +34,66 @@ NAMES = [
 ]
 
 
+MIXED = re.compile(r"[a-z][0-9]+[a-z]|^[0-9]+[a-z]{2,}|[a-z]{3,}[0-9]$|[a-z][0-9]+[a-z]*[0-9]")
+BREAKS = re.compile(r"</(?:li|p|div|tr|td|ul|ol|h\d)>|<br\s*/?>|<li\b[^<>]*>", re.I)
+
+#: What is known of a word: 0 a number, else bits: 1 always, 2 small, 4 a single letter, 8 letters and digits mixed. Forgotten when full.
+_KINDS: dict[str, int] = {}
+
+
+def _kind(word: str) -> int:
+    k = _KINDS.get(word)
+    if k is None:
+        if len(_KINDS) > 200_000:
+            _KINDS.clear()
+        k = 0 if NUMBER.fullmatch(word) else 1 | 2 * (word in SMALL) | 4 * (len(word) == 1 and word.isalpha()) | 8 * bool(MIXED.search(word))
+        _KINDS[word] = k
+    return k
+
+
 def features(text: str | None) -> np.ndarray | None:
     """One row of NAMES for a text; None for a text without any word."""
     if not text:
         return None
     n_chars = max(1, len(text))
-    anchors = ANCHOR.findall(text)
-    urls = URL.findall(text)
-    link_chars = sum(map(len, anchors)) + sum(map(len, URL.findall(ANCHOR.sub(" ", text))))
+    linked = "//" in text or "www." in text or "](" in text or "<a" in text or "<A" in text
+    anchors = ANCHOR.findall(text) if linked else []
+    urls = URL.findall(text) if linked else []
     # Links become one mark, so that their parts are not taken for words.
-    body = re.sub(r"</(?:li|p|div|tr|td|ul|ol|h\d)>|<br\s*/?>|<li\b[^<>]*>", "\n", ANCHOR.sub(" ￿ ", text), flags=re.I)
-    body = URL.sub(" ￿ ", TAG.sub(" ", body))
-    segments = [s for s in SPLIT.split(body) if s and s.strip()]
+    body = ANCHOR.sub(" \uffff ", text) if anchors else text
+    link_chars = sum(map(len, anchors)) + (sum(map(len, URL.findall(body))) if urls else 0)
+    if urls:
+        body = URL.sub(" \uffff ", BREAKS.sub("\n", body))
+    if "<" in body:
+        body = TAG.sub(" ", BREAKS.sub("\n", body))
+    segments = [s for s in SPLIT.split(body) if s and not s.isspace()]
     total = prose = links = offers = code = numbers = listed = singles = mixed = small = hashtags = separators = kana = ids = 0.0
     counts: Counter = Counter()
-    pairs: Counter = Counter()
+    pairs: set = set()
     for s in segments:
-        japanese = len(CJK.findall(s))
-        tokens = WORD.findall(s)
-        marks = s.count("￿")
-        size = len(tokens) + japanese / 3.0 + marks
+        plain = s.isascii()
+        japanese = 0 if plain else len(CJK.findall(s))
+        low = WORD.findall(s.lower())
+        marks = 0 if plain else s.count("\uffff")
+        size = len(low) + japanese / 3.0 + marks
         if not size:
             continue
         total += size
-        low = [t.lower() for t in tokens]
-        few = sum(t in SMALL for t in low)
-        nums = sum(bool(NUMBER.fullmatch(t)) for t in tokens)
-        letters = [t for t in low if not NUMBER.fullmatch(t)]
-        one = sum(len(t) == 1 and t.isalpha() for t in low)
-        k = len(KANA.findall(s))
-        numbers += nums
+        kinds = [_kind(t) for t in low]
+        letters = [t for t, k in zip(low, kinds, strict=True) if k]
+        few = sum(k & 2 for k in kinds) // 2
+        one = sum(k & 4 for k in kinds) // 4
+        numbers += len(low) - len(letters)
         small += few
         singles += one
-        mixed += sum(bool(re.search(r"[a-z][0-9]+[a-z]|^[0-9]+[a-z]{2,}|[a-z]{3,}[0-9]$|[a-z][0-9]+[a-z]*[0-9]", t)) for t in letters)
-        ids += sum("_" in t for t in s.split())
-        hashtags += s.count("#")
-        seps = sum(s.count(c) for c in ";/|>,•·")
+        mixed += sum(k & 8 for k in kinds) // 8
+        if "_" in s:
+            ids += sum("_" in t for t in s.split())
+        tags = s.count("#")
+        hashtags += tags
+        seps = s.count(",") + s.count(";") + s.count("/") + s.count("|") + s.count(">") + (0 if plain else s.count("•") + s.count("·"))
         separators += seps
+        k = len(KANA.findall(s)) if japanese else 0
         kana += k
         counts.update(letters)
         pairs.update(zip(letters, letters[1:], strict=False))
@@ -79,16 +102,15 @@ def features(text: str | None) -> np.ndarray | None:
             if k / japanese > 0.2:
                 prose += size
             continue
-        distinct = len(set(letters)) / max(1, len(letters))
         if CODE.match(s):
             code += size
-        elif marks and marks * 3 >= len(tokens):
+        elif marks and marks * 3 >= len(low):
             links += size
-        elif OFFER.search(s) and few <= 1 and len(tokens) <= 16 and len(letters) >= 2:
+        elif few <= 1 and len(low) <= 16 and len(letters) >= 2 and OFFER.search(s):
             offers += size
-        elif len(letters) >= 3 and few / max(1, len(letters)) >= 0.14 and one < 0.3 * len(low) and distinct > 0.5 and s.count("#") < 3:
+        elif len(letters) >= 3 and few / len(letters) >= 0.14 and one < 0.3 * len(low) and tags < 3 and len(set(letters)) > 0.5 * len(letters):
             prose += size
-        elif len(letters) and seps + 1 >= len(letters) / 3:
+        elif letters and seps + 1 >= len(letters) / 3:
             listed += size
     if not total:
         return None
