@@ -115,6 +115,7 @@ def find_leaks(
     postings = index if index is not None else positional_index(docs, "doc", "__text")
     # Only postings of the passages' terms go on; they are kept, as both the counts and the search need them.
     postings = postings.join(small(vocabulary), "term").persist(StorageLevel.MEMORY_AND_DISK)
+    postings.count()  # made once, before two stages ask for them at the same time
     counts = postings.groupBy("term").agg(F.count("*").alias("n"))
     ranked = terms.join(counts, "term", "left").select("item", "ipos", "term", F.coalesce("n", F.lit(0)).alias("n"))
     # Short passages have smaller blocks, so that two terms can hit.
