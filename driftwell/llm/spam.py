@@ -60,6 +60,7 @@ def spam_pages(pages: DataFrame, *, page_id: str, text: str, host: str, weight:
     they are not sure); repeated ids are scored each; other columns are ignored.
     """
     f = page_features(pages, page_id, text, host).persist(StorageLevel.MEMORY_AND_DISK)
+    f.count()  # made once, before two stages ask for them at the same time
     labelled = f.where("x is not null").select("x", weak_label(F.col("x")).alias("label"), F.xxhash64("page_id", F.lit(seed)).alias("h")).where("label is not null")
     some = [labelled.where(F.col("label") == c).orderBy("h").limit(LEARN).select(array_to_vector("x").alias("features"), "label") for c in (0.0, 1.0)]
     learn = some[0].union(some[1]).coalesce(1).persist(StorageLevel.MEMORY_AND_DISK)
