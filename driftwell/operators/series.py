@@ -122,7 +122,7 @@ def normalise(samples: DataFrame, keys: Sequence[str], *, channel: str = "channe
 def integrate(samples: DataFrame, keys: Sequence[str], *, time: str = "timebase", value: str = "signal") -> DataFrame:
     """Running sum times the mean step."""
     whole = Window.partitionBy(*keys)
-    step = (F.max(time).over(whole) - F.min(time).over(whole)) / (F.count("*").over(whole) - 1)
+    step = (F.max(time).over(whole) - F.min(time).over(whole)) / F.nullif(F.count("*").over(whole) - 1, F.lit(0))
     return samples.withColumn("integral", F.sum(value).over(over(keys, time).rowsBetween(Window.unboundedPreceding, 0)) * step)
 
 

@@ -168,3 +168,41 @@ def test_table_operators(spark):
     assert mining.append_rows(df, df).count() == 4
     new = spark.createDataFrame([(1, "c", 5)], "indx long, z string, w int")
     assert {r["indx"]: (r["z"], r["w"]) for r in mining.update_columns(df, new, "indx").collect()} == {1: ("c", 5), 2: (None, None)}
+
+
+def test_shapes_and_scans(spark):
+    from driftwell.operators import shots as H
+
+    df = spark.createDataFrame([("b", 1, 0.1, 0.2), ("a", 2, 0.3, 0.4), ("c", 3, 0.0, 1.0)], "name string, shot int, t0 double, t1 double")
+    assert [(r["shot"], r["place"]) for r in H.scan_details(df, ["a", "b"]).orderBy("place").collect()] == [(2, 0), (1, 1)]
+    xyz = spark.range(1).select(*H.along_line(F.lit(5.0), (0, 0, 0), (0, 10, 0))).first()
+    assert tuple(xyz) == (0.0, 5.0, 0.0)
+    assert spark.range(1).select(H.energy_of(F.array(F.lit(3.0), F.lit(4.0), F.lit(9.0)), F.array(F.lit(0), F.lit(1)))).first()[0] == 25.0
+    edges = H.equal_count_edges([0.0] * 3, [1.0] * 3, 4)
+    assert len(edges) == 5 and edges == sorted(edges)
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
+    assert [tuple(r) for r in H.differing_rows(a, a.distinct()).collect()] == [(1, "x", "a", 1)] and H.differing_rows(a, a).count() == 0
+    noisy = H.with_noise(spark.range(4000).select(F.lit(1).alias("k"), F.lit(2.0).alias("v")), "v", ["k"], 20.0)
+    assert noisy.agg(F.stddev("v")).first()[0] == pytest.approx(0.2, rel=0.1)
+    labels = spark.createDataFrame([(i, i % 2, 0.9 if i < 4 else 0.4) for i in range(8)], "id long, cluster int, weight double")
+    stats = spark.createDataFrame([(0, 9.0), (1, 2.0)], "cluster int, kappa double")
+    assert sorted(r["id"] for r in H.cutoff_members(labels, stats, min_kappa=4.0, min_weight=0.5).collect()) == [0, 2]
+    c = spark.createDataFrame([("A", None), ("B", "s2"), ("C", None)], "channel string, section_sweep string")
+    w = spark.createDataFrame([("A", "s1")], "channel string, sweep string")
+    assert {r["channel"]: r["sweep"] for r in H.sweep_of(c, w, F.lit("s0")).collect()} == {"A": "s1", "B": "s2", "C": "s0"}
+
+
+def test_upserts_and_centroids(spark):
+    from driftwell.operators import shots as H
+
+    left = spark.createDataFrame([(1, 5, 10.0), (2, 6, 20.0), (3, 7, 30.0)], "l long, shot int, e double")
+    right = spark.createDataFrame([(100, 5, 0.0), (200, 6, 0.0)], "r long, shot int, e double")
+    m = spark.createDataFrame([(1, 1, 100), (2, 2, None), (3, 0, None)], "l long, matches long, r long")
+    got = {(r["r"], r["shot"]): r["e"] for r in H.upsert_matched(right, left, m, left_id="l", right_id="r", columns=["e"]).collect()}
+    assert got == {(100, 5): 10.0, (200, 6): 0.0, (None, 7): 30.0}
+    rng = np.random.default_rng(4)
+    angles = np.mod(rng.normal(3.0, 0.6, 60), 2 * np.pi)
+    row = H.circular_centroid(spark.createDataFrame([(1, float(a)) for a in angles], "k int, a double"), ["k"], "a").first()
+    grid = np.linspace(-np.pi, np.pi, 20001)
+    cost = ((np.mod(angles[None, :] - grid[:, None] + np.pi, 2 * np.pi) - np.pi) ** 2).sum(axis=1)
+    assert row["cost"] == pytest.approx(cost.min(), rel=1e-4) and row["centre"] == pytest.approx(grid[cost.argmin()], abs=1e-3)
