@@ -32,7 +32,7 @@ class Settings:
     slots: int = 32  #: length of the hashed vectors
     cells: int = 20  #: cells per scaled range of a field, in which crowding is counted
     apart: float = 10.0  #: squared distance of means, in summed covariances, from which crowds are apart
-    reach: float = 25.0  #: squared distance, in a cluster's own spreads, up to which a record belongs to it
+    reach: float = 16.5  #: squared distance, in a cluster's own spreads, up to which a record belongs to it
     least: int = 10  #: a cluster's least number of records
     typical: int = 5  #: most typical members reported of each cluster
     max_parts: int = 1000  #: parts beyond this are refused
