@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.functions import spectra
+from driftwell.functions import spectra, sweeps
 from driftwell.operators import fluctuations as X
 from driftwell.operators import mining as M
 from driftwell.operators import series as S
@@ -96,5 +96,28 @@ def damping(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("series_id", "seg_id", F.get("x", F.lit(0)).alias("damping"), F.get("x", F.lit(1)).alias("omega"))
 
 
-QUERIES = {f"sig_{f.__name__}": f for f in (structures, good_structures, bandpass, butterworth, channel_rms, spectrogram, spectral_peaks, phase, coherence, damping)}
+def pulses(spark: SparkSession, folder: str) -> DataFrame:
+    """The pulse of each stretch of 1024 samples of each series: start, end, and the fraction of its peak above which it is one run."""
+    rows = S.segment_arrays(S.segment(known(spark, folder).withColumn("signal", F.abs("signal")), ["series_id"], "timebase", 1024), ["series_id"])
+
+    def find(v: np.ndarray, t0: float, dt: float | None) -> np.ndarray:
+        found = sweeps.longest_low(t0 + np.arange(len(v)) * (dt or 0.0), v)
+        return np.array(found if found else [])
+
+    made = X.on_arrays(rows.where("dt is not null"), "signal", find, "t0", "dt", to="x").where("size(x) = 3")
+    return made.select("series_id", "seg_id", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(("t_start", "t_end", "fraction"))])
+
+
+def profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Polynomials of degree 5 over each segment as a profile, with their error."""
+
+    def fit(v: np.ndarray) -> np.ndarray:
+        c, e = sweeps.profile_quality(np.linspace(-1, 1, len(v)), v, np.full(len(v), 1 / max(np.abs(v).max(), 1e-300)))
+        return np.r_[e, c if c is not None else []]
+
+    made = X.on_arrays(by_channel(spark, folder), "signal", fit, to="x")
+    return made.select("series_id", "seg_id", F.get("x", F.lit(0)).alias("error"), F.slice("x", 2, 6).alias("coefficients")).where("error < 9")
+
+
+QUERIES = {f"sig_{f.__name__}": f for f in (structures, good_structures, bandpass, butterworth, channel_rms, spectrogram, spectral_peaks, phase, coherence, damping, pulses, profiles)}
 SQL: dict[str, str] = {}
