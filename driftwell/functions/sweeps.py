@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from driftwell.functions.spectra import analytic, bandpass
+from driftwell.functions.spectra import analytic
 
 
 def sweep_cycles(v: np.ndarray) -> float:
@@ -46,15 +46,17 @@ def remove_leakage(current: np.ndarray, voltage: np.ndarray, quiet: slice) -> tu
 def restore_sine(x: np.ndarray, dt: float, freq: float, *, passes: int = 6, clipped: np.ndarray | None = None) -> np.ndarray:
     """A clipped sine of a known frequency whole again, at constant amplitude and with its slow offset.
 
-    The phase comes from the band around the frequency, amplitude and offset from the samples that are not clipped; what is clipped is
-    then filled with the result, and again.
+    The phase is that of the signal against a wave of the frequency, averaged over one period; amplitude and offset come from the samples
+    that are not clipped. What is clipped is then filled with the result, and again.
     """
     x = np.asarray(x, dtype=float)
     ok = ~clipped if clipped is not None else (x > x.min()) & (x < x.max())
     n = max(1, int(round(1 / (freq * dt))))
     whole = x
+    turn = np.exp(-2j * math.pi * freq * dt * np.arange(len(x)))
+    seen = np.convolve(np.ones(len(x)), np.ones(n), "same")
     for _ in range(max(1, passes)):
-        phase = np.angle(analytic(bandpass(whole - whole.mean(), dt, (0.9 * freq, 1.1 * freq), (0.5 * freq, 1.5 * freq)))[0])
+        phase = np.angle(np.convolve((whole - whole.mean()) * turn, np.ones(n), "same") / seen / turn)
         design = np.column_stack([np.cos(phase), np.sin(phase), np.ones(len(x))])
         fit = design @ np.linalg.lstsq(design[ok], x[ok], rcond=None)[0]
         error = np.convolve(np.where(ok, x - fit, 0.0), np.ones(n), "same") / np.maximum(np.convolve(ok.astype(float), np.ones(n), "same"), 1.0)

@@ -17,6 +17,8 @@ REACH = 5
 LAGS = (8, 16, 32)
 #: How far splits may fall outside a node's own range: level, difference, season (scatters, compressed) and run length (doublings).
 MARGIN = np.array([1.0, 1.0, 1.0, 1.5])
+#: What a piece of a long source sees beyond its borders, as a part of its length.
+BESIDE = 0.02
 #: Rows worked on at once in a task; whole sources, so a little more.
 BATCH = 60_000
 
@@ -114,7 +116,8 @@ def implausible(
     levels, which is told from all readings of the channel, have only the rule.
 
     Sources are brought together by one exchange and sorted; whole sources are worked on in numpy batches of bounded size. A source of
-    more than ``longest`` readings is cut by time into pieces of about that number, so that no task holds an unbounded source.
+    more than ``longest`` readings is cut by time into pieces of about that number, so that no task holds an
+    unbounded source; a piece sees a little beyond its borders, and its scatter and forest are its own.
 
     Defined cases: rows with a null id, null time, or null or NaN value are no readings (an infinite value is impossible where the rule
     says so, else ignored); repeated rows of one id count once; readings at one time are ordered by id; a source of readings all alike has scatter
@@ -131,20 +134,24 @@ def implausible(
     long = r.groupBy("__src").agg(F.count("*").alias("__n"), F.min("__t").alias("__t0"), F.max("__t").alias("__t1")).where(F.col("__n") > longest).withColumnRenamed("__src", "__lsrc")
     r = r.join(rest, F.col("__ch") == F.col("__rch"), "left").join(long, F.col("__src") == F.col("__lsrc"), "left")
     width = (F.col("__t1") - F.col("__t0")) / F.ceil(F.col("__n") / longest)
-    piece = F.when(width > 0, F.floor((F.col("__t") - F.col("__t0")) / width).cast("int")).otherwise(0)
-    r = r.select("__src", F.coalesce(piece, F.lit(0)).alias("__p"), "__t", "__v", "__id", "__no", F.coalesce("__rests", F.lit(False)).alias("__rests"))
+    last = F.ceil(F.col("__n") / longest).cast("int") - 1
+    at = lambda shift: F.least(F.greatest(F.floor((F.col("__t") - F.col("__t0")) / width + shift), F.lit(0)), last).cast("int")
+    # A piece also sees the readings just beyond its borders, but answers only for its own.
+    pieces = F.when(width > 0, F.array_distinct(F.array(at(0.0), at(-BESIDE), at(BESIDE)))).otherwise(F.array(F.lit(0)))
+    r = r.withColumn("__own", F.when(width > 0, at(0.0)).otherwise(0)).select("__src", F.explode(pieces).alias("__p"), "__own", "__t", "__v", "__id", "__no", F.coalesce("__rests", F.lit(False)).alias("__rests"))
+    r = r.select("__src", "__p", "__t", "__v", "__id", "__no", "__rests", (F.col("__p") == F.col("__own")).alias("__own"))
     r = r.repartition("__src", "__p").sortWithinPartitions("__src", "__p", "__t", "__id")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def finish(rows: dict[str, np.ndarray]) -> pd.DataFrame:
             src, p, ids = rows["__src"], rows["__p"], rows["__id"]
-            key = mixed(src.astype(np.uint64) ^ mixed(p.astype(np.uint64))) if p.any() else src.astype(np.uint64)
+            key = np.where(p == 0, src.astype(np.uint64), mixed(src.astype(np.uint64) ^ mixed(p.astype(np.uint64))))
             keep = np.r_[True, (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])]
-            key, v, no, rests, ids = key[keep], rows["__v"][keep], rows["__no"][keep], rows["__rests"][keep], ids[keep]
+            key, v, no, rests, ids, own = key[keep], rows["__v"][keep], rows["__no"][keep], rows["__rests"][keep], ids[keep], rows["__own"][keep]
             fit = ~no & np.isfinite(v)
             score, bad = np.ones(len(v)), no.copy()
             score[fit], bad[fit] = judge(key[fit], v[fit], rests[fit], cut=cut, run=run, suspicion=suspicion, trees=trees, sample=sample)
-            return pd.DataFrame({"reading_id": ids, "score": score, "flagged": bad})
+            return pd.DataFrame({"reading_id": ids[own], "score": score[own], "flagged": bad[own]})
 
         kept: list[dict[str, np.ndarray]] = []
         held = 0

@@ -43,8 +43,10 @@ def test_finds_what_was_planted_and_no_more(spark):
 
 def test_a_long_source_is_cut_without_losing_cases(spark):
     rows, bad = planted()
-    got = {k for k, f in run(spark, rows, longest=100).items() if f}
-    assert len(got ^ bad) <= 3  # a level beside a cut is known from one side
+    # 180 readings a source in pieces of about 90, each of which sees two readings of the next
+    judged = run(spark, rows, longest=100)
+    got = {k for k, f in judged.items() if f}
+    assert len(judged) == len(rows) and len(got ^ bad) <= 2
 
 
 def test_valves_have_only_impossible_values(spark):
