@@ -44,8 +44,6 @@ _KINDS: dict[str, int] = {}
 def _kind(word: str) -> int:
     k = _KINDS.get(word)
     if k is None:
-        if len(_KINDS) > 200_000:
-            _KINDS.clear()
         k = 0 if NUMBER.fullmatch(word) else 1 | 2 * (word in SMALL) | 4 * (len(word) == 1 and word.isalpha()) | 8 * bool(MIXED.search(word))
         _KINDS[word] = k
     return k
@@ -56,6 +54,8 @@ def features(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     n_chars = max(1, len(text))
+    if len(_KINDS) > 200_000:
+        _KINDS.clear()
     linked = "//" in text or "www." in text or "](" in text or "<a" in text or "<A" in text
     anchors = ANCHOR.findall(text) if linked else []
     urls = URL.findall(text) if linked else []
@@ -79,14 +79,18 @@ def features(text: str | None) -> np.ndarray | None:
         if not size:
             continue
         total += size
-        kinds = [_kind(t) for t in low]
-        letters = [t for t, k in zip(low, kinds, strict=True) if k]
-        few = sum(k & 2 for k in kinds) // 2
-        one = sum(k & 4 for k in kinds) // 4
-        numbers += len(low) - len(letters)
+        kinds = list(map(_KINDS.get, low))
+        if None in kinds:
+            kinds = [_kind(t) for t in low]
+        plain_numbers = kinds.count(0)
+        letters = [t for t, k in zip(low, kinds, strict=True) if k] if plain_numbers else low
+        # The kinds there are: 1 a word, 3 a small one, 5 a letter, 7 a small letter, 9 mixed.
+        both = kinds.count(7)
+        few, one = kinds.count(3) + both, kinds.count(5) + both
+        numbers += plain_numbers
         small += few
         singles += one
-        mixed += sum(k & 8 for k in kinds) // 8
+        mixed += kinds.count(9)
         if "_" in s:
             ids += sum("_" in t for t in s.split())
         tags = s.count("#")
