@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,15 @@ class Field:
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of the clustering. Everything kept on the driver is bounded by parts * centres."""
+    """Parameters of the clustering. What is kept on the driver is bounded by parts * (centres + peaks) and the clusters that there are."""
 
     centres: int = 48  #: centres of k-means in each part; more than clusters, which are put together from touching centres
     rounds: int = 5  #: rounds of parallel seeding, each taking about 2 * centres candidates
     passes: int = 12  #: passes of Lloyd's algorithm at most
     slots: int = 32  #: length of the hashed vectors
     cells: int = 20  #: cells per scaled range of a field, in which crowding is counted
+    scales: tuple[int, ...] = (10, 20, 40, 80, 160)  #: the same for the search among records left over; crowds of any extent show at one of them
+    peaks: int = 200  #: densest places of a part that a round of that search looks at; rounds go on until one finds nothing
     apart: float = 10.0  #: squared distance of means, in summed covariances, from which crowds are apart
     reach: float = 16.5  #: squared distance, in a cluster's own spreads, up to which a record belongs to it
     least: int = 10  #: a cluster's least number of records
@@ -304,6 +307,8 @@ def cluster_records(df: DataFrame, *, record_id: str, part: Column, fields: Sequ
        tasks. All parts are worked on at once. There are more centres than clusters; centres whose records are slices of one crowd are joined.
     4. Each cluster's mean and covariance are taken, twice again over the records within reach, and every record goes to the cluster it is
        nearest to in that cluster's own spreads, if within reach. Clusters of fewer than ``least`` records are none.
+    5. The records beyond reach are searched for crowds that stand out from what lies around them, whatever the size of the part, until a
+       search finds none (see _left_over).
 
     No record is sampled away: each pass runs over all rows. The driver holds parts * centres vectors, whatever the number of rows.
 
@@ -336,6 +341,7 @@ def cluster_records(df: DataFrame, *, record_id: str, part: Column, fields: Sequ
         shapes = {p: big(_merged(g, s.apart)) for p, g in _sums(points, near, dims, parts).items()}
         for _ in range(2):
             shapes = {p: big(_merged(g, s.apart)) for p, g in _sums(whole, _membership(shapes, s.reach), dims, parts).items()}
+    shapes = _left_over(whole, axes, shapes, dims, s)
     number = {p: {k: i for i, k in enumerate(sorted(g, key=lambda k: (-g[k][0], k)))} for p, g in shapes.items()}
     assign = _membership(shapes, s.reach)
 
@@ -370,6 +376,115 @@ def _crowded(whole: DataFrame, axes: list[int], counts: dict[int, int], s: Setti
     return here.join(kept, ["__part", "__c"], "left_semi").select("__id", "__part", "__x")
 
 
+def _peaks(left: DataFrame, axes: list[int], dims: int, s: Settings) -> dict[int, list[tuple[float, np.ndarray]]]:
+    """(cell width, place) of the cells that hold far more records than the wider cells around them would put there, most striking first, by part.
+
+    Cells of several widths are counted, each with its neighbours along each axis, against the rest of blocks of four cells a side. Of
+    cells that touch only the most striking one is kept.
+    """
+    d = len(axes)
+    step = lambda c: F.array(c, *[F.transform(F.array(*[F.get(c, F.lit(i)) + (by if i == j else 0) for i in range(d)]), lambda x: x.cast("int")) for j in range(d) for by in (-1, 1)])
+    grids = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.array(*[F.floor(F.col("__x")[a] * m).cast("int") for a in axes]).alias("c")) for m in s.scales]))
+    cells = left.select("__part", "__x", grids.alias("g")).select("__part", "g.m", "g.c", "__x").groupBy("__part", "m", "c")
+    n = cells.agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("__x")[i]) for i in range(dims)]).alias("x"))
+    near = n.select("__part", "m", F.explode(step(F.col("c"))).alias("c"), "n").groupBy("__part", "m", "c").agg(F.sum("n").alias("near"))
+    block = F.transform("c", lambda x: F.floor(x / 4).cast("int"))
+    wide = n.select("__part", "m", block.alias("b"), "n").groupBy("__part", "m", "b").agg(F.sum("n").alias("n"))
+    wide = wide.select("__part", "m", F.explode(step(F.col("b"))).alias("b"), "n").groupBy("__part", "m", "b").agg(F.sum("n").alias("wide"))
+    seen = n.join(near, ["__part", "m", "c"]).withColumn("b", block).join(wide, ["__part", "m", "b"])
+    # Neighbours may lie outside the blocks, so the rest may come out below 0.
+    usual = F.greatest(F.col("wide") - F.col("near"), F.lit(0)) / float(4**d - 1)
+    over = (F.col("near") - usual) / F.sqrt(usual + 1)
+    rows = seen.where((F.col("near") >= 0.6 * s.least) & (F.col("near") > usual + 5 * F.sqrt(usual) + 4)).withColumn("over", over)
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("__part").orderBy(F.desc("over"), "m", "c"))).where(F.col("r") <= 20 * s.peaks)
+    out: dict[int, list[tuple[float, np.ndarray]]] = {}
+    for r in rows.select("__part", "m", "x", "r").orderBy("__part", "r").collect():
+        kept, width, x = out.setdefault(r["__part"], []), 1.0 / r["m"], np.array(r["x"])
+        if len(kept) < s.peaks and all(np.abs(x - y)[axes].max() > 2 * min(w, width) for w, y in kept):
+            kept.append((width, x))
+    return out
+
+
+def _below(c: float, dims: int) -> float:
+    """The part of a normal crowd of so many dimensions whose squared distance is at most c."""
+    t = term = np.exp(dims / 2 * np.log(c / 2) - c / 2 - lgamma(dims / 2 + 1))
+    for k in range(1, 200):
+        term *= c / 2 / (dims / 2 + k)
+        t += term
+    return float(min(t, 1.0))
+
+
+def _chance(n: float, usual: float) -> float:
+    """The chance of n or more where ``usual`` are usual, of independent events."""
+    return 1.0 if n <= usual else _below(2 * usual, 2 * int(n)) if usual > 0 else 0.0
+
+
+def _left_over(whole: DataFrame, axes: list[int], shapes: dict[int, dict[int, tuple]], dims: int, s: Settings) -> dict[int, dict[int, tuple]]:
+    """shapes with the crowds that are found among the records beyond reach of all of them.
+
+    A round looks at the places where such records are densest. Mean and spreads are taken over the records near each, freed of the
+    cut at a core's border; places that come to lie in one crowd are joined. A crowd is new if it has ``least`` records of no cluster, which
+    stand at least three times as densely as all records of the part, those of clusters too, stand in the shell around it, by more than chance.
+    Where clusters hold most of the records within reach there is none, so the thin tails around a large cluster are no crowd.
+    """
+    if not axes:
+        return shapes
+    shapes = {p: dict(g) for p, g in shapes.items()}
+    core, shell = 2.1 * dims, 2.25 * s.reach
+    shrunk = _below(core, dims + 2) / _below(core, dims)
+    around = (shell ** (dims / 2) - s.reach ** (dims / 2)) or 1.0
+    searched = sorted(shapes)
+    while searched:
+        taken = _membership(shapes, s.reach)
+
+        def beyond(batches, taken=taken):
+            for b in batches:
+                for p, rows, x in _by_part(b):
+                    yield b.iloc[rows[taken(p, x) < 0]][["__part", "__x"]]
+
+        left = whole.where(F.col("__part").isin(searched)).select("__part", "__x").mapInPandas(beyond, "__part int, __x array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+        new: dict[int, dict[int, tuple]] = {}
+        for p, places in _peaks(left, axes, dims, s).items():
+            start = lambda w: np.diag([(0.6 * w) ** 2 if i in axes else 0.25 for i in range(dims)])
+            new[p] = {k: (0, x, start(w)) for k, (w, x) in enumerate(places)}
+        for _ in range(5):
+            got = _sums(left, _membership(new, core), dims, list(new)) if new else {}
+            fresh = {p: {k: v for k, v in g.items() if v[0] >= 0.6 * s.least} for p, g in got.items()}
+            new = {p: {k: (n, m, c / shrunk) for k, v in _merged(g, s.apart).items() for n, m, c in [_shape(v, dims)]} for p, g in fresh.items() if g}
+        left.unpersist()
+        rings = _rings(whole, new, taken, (core, s.reach, shell)) if new else {}
+        searched = []
+        for p, g in new.items():
+            for k, (_, mean, cov) in sorted(g.items()):
+                inner, within, held, ring = rings.get((p, k), (0, 0, 0, 0))
+                usual = ring / around
+                if within >= max(s.least, held) and inner > 3 * usual * core ** (dims / 2) and _chance(within, usual * s.reach ** (dims / 2)) < 1e-6:
+                    shapes[p][max(shapes[p], default=-1) + 1] = (within, mean, cov)
+                    searched = sorted({*searched, p})
+    return shapes
+
+
+def _rings(whole: DataFrame, shapes: dict[int, dict[int, tuple]], taken, bounds: tuple[float, float, float]) -> dict[tuple[int, int], tuple]:
+    """For each shape the records of its part, of no cluster, within the first and second bound of squared distance; those of clusters within the second; all between the second and third."""
+    ready = {p: [(k, mean, np.linalg.inv(cov + np.eye(len(mean)) * 1e-9)) for k, (_, mean, cov) in g.items()] for p, g in shapes.items()}
+
+    def count(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for p, _, x in _by_part(b):
+                free = taken(p, x) < 0
+                for k, mean, inverse in ready.get(p, []):
+                    y = x - mean
+                    d = np.einsum("ij,jk,ik->i", y, inverse, y)
+                    n = [(free & (d <= bounds[0])).sum(), (free & (d <= bounds[1])).sum(), (~free & (d <= bounds[1])).sum(), ((d > bounds[1]) & (d <= bounds[2])).sum()]
+                    total[(p, k)] = total.get((p, k), 0) + np.array(n)
+        if total:
+            yield pd.DataFrame([(p, k, *map(int, v)) for (p, k), v in total.items()], columns=["part", "k", "a", "b", "c", "d"])
+
+    rows = whole.where(F.col("__part").isin(list(ready))).mapInPandas(count, "part int, k int, a long, b long, c long, d long").groupBy("part", "k").agg(*[F.sum(c) for c in "abcd"]).collect()
+    return {(r[0], r[1]): tuple(r[2:]) for r in rows}
+
+
 def describe_clusters(labelled: DataFrame, typical: int = 5) -> DataFrame:
     """part, cluster, size, typical: each cluster's size and its members nearest the centroid, nearest first.
 

@@ -76,3 +76,19 @@ def test_text_fields_are_hashed(spark):
     df = spark.createDataFrame([(i, 1, "red" if i % 2 else "blue") for i in range(80)], "id long, p int, colour string")
     got = cluster_records(df, record_id="id", part=F.col("p"), fields=[Field("colour", text=True)], settings=Settings(centres=8)).collect()
     assert {(r["record_id"] % 2, r["cluster"]) for r in got} in ({(0, 0), (1, 1)}, {(0, 1), (1, 0)})
+
+
+def test_a_small_group_is_found_in_a_large_part(spark):
+    rng = np.random.default_rng(5)
+    big = [(20, 0.2, -3), (60, 0.9, -2), (95, 0.3, -1.5), (40, 0.6, -4)]
+    rows = [(*rng.normal(big[i % 4], (1.5, 0.015, 0.05)), i % 4) for i in range(120_000)]
+    rows += [(rng.uniform(2, 120), rng.uniform(0.01, 1.1), rng.uniform(-4.5, -0.5), -1) for _ in range(4000)]
+    rows += [(*rng.normal((80, 0.8, -2.8), (0.8, 0.008, 0.03)), 4) for _ in range(14)]
+    got = label(spark, [(i, 1, float(f), float(k), float(10**r), "x", "y") for i, (f, k, r, _) in enumerate(rows)]).collect()
+    members = {}
+    for r in got:
+        members.setdefault(r["cluster"], []).append(rows[r["record_id"]][3])
+    groups = [v for k, v in members.items() if k >= 0]
+    assert sorted(max(set(v), key=v.count) for v in groups) == [0, 1, 2, 3, 4]
+    small = next(v for v in groups if 4 in v)
+    assert small.count(4) == 14 and len(small) <= 16
