@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import lgamma
 
 import numpy as np
@@ -27,12 +27,13 @@ class Field:
 class Settings:
     """Parameters of the clustering. What is kept on the driver is bounded by parts * (centres + peaks) and the clusters that there are."""
 
-    centres: int = 48  #: centres of k-means in each part; more than clusters, which are put together from touching centres
+    centres: int = 48  #: centres of k-means in each part to begin with; clusters are put together from touching centres, and split or added where these were too few
+    pieces: int = 32  #: centres by which a cluster is tried for being several crowds; what comes out is tried again
     rounds: int = 5  #: rounds of parallel seeding, each taking about 2 * centres candidates
     passes: int = 12  #: passes of Lloyd's algorithm at most
     slots: int = 32  #: length of the hashed vectors
     cells: int = 20  #: cells per scaled range of a field, in which crowding is counted
-    scales: tuple[int, ...] = (10, 20, 40, 80, 160)  #: the same for the search among records left over; crowds of any extent show at one of them
+    scales: tuple[int, ...] = (5, 10, 20, 40, 80, 160)  #: the same for the search among records left over; crowds of any extent show at one of them
     peaks: int = 200  #: densest places of a part that a round of that search looks at; rounds go on until one finds nothing
     apart: float = 10.0  #: squared distance of means, in summed covariances, from which crowds are apart
     reach: float = 16.5  #: squared distance, in a cluster's own spreads, up to which a record belongs to it
@@ -166,7 +167,7 @@ def _seed(points: DataFrame, parts: list[int], s: Settings, seed: int) -> dict[i
                 w[x["i"]] = x["w"]
         chosen = [int(w.argmax())]
         far = _sq(c, c[chosen]).min(axis=1)
-        while len(chosen) < min(s.centres, len(c), max(8, int(w.sum()) // 20)):
+        while len(chosen) < min(s.centres, len(c), max(8, int(w.sum()) // max(1, s.least // 2))):
             chance = np.sqrt(w) * far  # the root keeps one huge crowd from taking all centres
             if chance.sum() <= 0:
                 break
@@ -304,10 +305,11 @@ def cluster_records(df: DataFrame, *, record_id: str, part: Column, fields: Sequ
     2. Records that stand where no crowd is - their cell and its neighbours along each axis hold hardly more than a thin scatter would put
        there - take no part in seeding and centring, so that strays draw no centres.
     3. Centres are seeded in parallel by oversampling (k-means||) and moved by Lloyd's passes, every pass one aggregation summed in the
-       tasks. All parts are worked on at once. There are more centres than clusters; centres whose records are slices of one crowd are joined.
+       tasks. All parts are worked on at once. Centres whose records are slices of one crowd are joined.
     4. Each cluster's mean and covariance are taken, twice again over the records within reach, and every record goes to the cluster it is
        nearest to in that cluster's own spreads, if within reach. Clusters of fewer than ``least`` records are none.
-    5. The records beyond reach are searched for crowds that stand out from what lies around them, whatever the size of the part, until a
+    5. Where there are more crowds than centres a cluster holds several: each is tried by centres of its own and split, until none comes apart.
+    6. The records beyond reach are searched for crowds that stand out from what lies around them, whatever the size of the part, until a
        search finds none (see _left_over).
 
     No record is sampled away: each pass runs over all rows. The driver holds parts * centres vectors, whatever the number of rows.
@@ -341,7 +343,12 @@ def cluster_records(df: DataFrame, *, record_id: str, part: Column, fields: Sequ
         shapes = {p: big(_merged(g, s.apart)) for p, g in _sums(points, near, dims, parts).items()}
         for _ in range(2):
             shapes = {p: big(_merged(g, s.apart)) for p, g in _sums(whole, _membership(shapes, s.reach), dims, parts).items()}
-    shapes = _left_over(whole, axes, shapes, dims, s)
+    while True:
+        shapes = _split(whole, shapes, dims, s, seed)
+        before = sum(map(len, shapes.values()))
+        shapes = _left_over(whole, axes, shapes, dims, s)
+        if sum(map(len, shapes.values())) == before:
+            break
     number = {p: {k: i for i, k in enumerate(sorted(g, key=lambda k: (-g[k][0], k)))} for p, g in shapes.items()}
     assign = _membership(shapes, s.reach)
 
@@ -376,6 +383,69 @@ def _crowded(whole: DataFrame, axes: list[int], counts: dict[int, int], s: Setti
     return here.join(kept, ["__part", "__c"], "left_semi").select("__id", "__part", "__x")
 
 
+def _split(whole: DataFrame, shapes: dict[int, dict[int, tuple]], dims: int, s: Settings, seed: int) -> dict[int, dict[int, tuple]]:
+    """shapes with the clusters that hold several crowds replaced by these.
+
+    Each cluster is clustered by itself like a part, all of them at once; clumped ones by more and more pieces until they come apart. A round takes up only parts that the last one gave more clusters,
+    so it ends.
+    """
+    shapes = {p: dict(g) for p, g in shapes.items()}
+    searched = sorted(shapes)
+    while searched:
+        taken = _membership(shapes, s.reach)
+        names = [(p, k) for p in searched for k, v in sorted(shapes[p].items()) if v[0] >= 2 * s.least]
+        if not names:
+            break
+        place = {p: {} for p in searched}
+        for i, (p, k) in enumerate(names):
+            place[p][k] = i
+
+        frames = [(v[1], np.linalg.inv(np.linalg.cholesky(v[2] + np.eye(dims) * 1e-9)), 0.5 if v[0] < 1000 else 0.25) for p, k in names for v in [shapes[p][k]]]
+
+        def inside(batches, taken=taken, place=place, frames=frames):
+            for b in batches:
+                for p, rows, x in _by_part(b):
+                    at = np.array([place[p].get(int(k), -1) for k in taken(p, x)], dtype="int32")
+                    cell = np.zeros(len(x), dtype="int64")
+                    for i in np.unique(at[at >= 0]):
+                        mean, inverse, h = frames[i]
+                        for y in np.floor((x[at == i] - mean) @ inverse.T / h).astype("int64").T:
+                            cell[at == i] = cell[at == i] * 1_000_003 + y
+                    yield b.iloc[rows[at >= 0]][["__id", "__x"]].assign(__part=at[at >= 0], __c=cell[at >= 0])
+
+        own = whole.where(F.col("__part").isin(searched)).select("__id", "__part", "__x").mapInPandas(inside, "__id long, __part int, __x array<double>, __c long")
+        own = own.withColumn("__u", F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)).persist(StorageLevel.MEMORY_AND_DISK)
+        # Pairs of different vectors in one cell: clearly more than in one crowd of the cluster's own mean and spreads tell that it is clumped.
+        pairs = own.select("__part", "__c", "__x").distinct().groupBy("__part", "__c").agg(F.count("*").cast("double").alias("n")).groupBy("__part").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("m")).collect()
+        clumped = {r["__part"]: r["m"] > 3 * r["n"] * (r["n"] - 1) * (frames[r["__part"]][2] / np.sqrt(4 * np.pi)) ** dims for r in pairs}
+        present, pieces = sorted(clumped), s.pieces
+        got: dict[int, dict[int, np.ndarray]] = {}
+        while present:
+            some = own.where(F.col("__part").isin(present))
+            centres = _lloyd(some, _seed(some, present, replace(s, centres=pieces, rounds=2), seed), 5)
+            for i, g in _sums(some, lambda p, x, centres=centres: _sq(x, centres[p]).argmin(axis=1), dims, present).items():
+                got[i] = _merged(g, s.apart)
+            # A clumped cluster that does not come apart holds more crowds than pieces.
+            pieces *= 4
+            present = [i for i in present if clumped[i] and sum(v[0] >= s.least for v in got[i].values()) < 2 and shapes[names[i][0]][names[i][1]][0] * 4 > pieces * (s.least // 2)]
+        own.unpersist()
+        tried = {p: dict(shapes[p]) for p in searched}
+        for i, g in got.items():
+            p, k = names[i]
+            crowds = [_shape(v, dims) for v in g.values() if v[0] >= s.least]
+            if len(crowds) > 1:
+                del tried[p][k]
+                tried[p] |= {max(tried[p] | shapes[p]) + 1 + j: c for j, c in enumerate(crowds)}
+        searched = [p for p in searched if len(tried[p]) > len(shapes[p])]
+        tried = {p: tried[p] for p in searched}
+        for _ in range(2 if searched else 0):
+            sums = _sums(whole.where(F.col("__part").isin(searched)), _membership(tried, s.reach), dims, searched)
+            tried = {p: {k: _shape(v, dims) for k, v in _merged(g, s.apart).items() if v[0] >= s.least} for p, g in sums.items()}
+        searched = [p for p in searched if len(tried[p]) > len(shapes[p])]
+        shapes |= {p: tried[p] for p in searched}
+    return shapes
+
+
 def _peaks(left: DataFrame, axes: list[int], dims: int, s: Settings) -> dict[int, list[tuple[float, np.ndarray]]]:
     """(cell width, place) of the cells that hold far more records than the wider cells around them would put there, most striking first, by part.
 

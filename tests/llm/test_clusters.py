@@ -92,3 +92,23 @@ def test_a_small_group_is_found_in_a_large_part(spark):
     assert sorted(max(set(v), key=v.count) for v in groups) == [0, 1, 2, 3, 4]
     small = next(v for v in groups if 4 in v)
     assert small.count(4) == 14 and len(small) <= 16
+
+
+def groups_on_a_lattice(shape, n, seed):
+    rng = np.random.default_rng(seed)
+    rows, truth = [], []
+    for g, (a, b, c) in enumerate(np.ndindex(*shape)):
+        for _ in range(n):
+            rows.append((float(rng.normal(10 + 20 * a, 0.8)), float(rng.normal(0.1 + 0.2 * b, 0.008)), float(10 ** rng.normal(-4 + 0.8 * c, 0.03)), "x", "y"))
+            truth.append(g)
+    return rows, truth
+
+
+def test_more_groups_than_centres(spark):
+    for shape, n in (((5, 5, 3), 40), ((4, 2, 2), 10)):
+        rows, truth = groups_on_a_lattice(shape, n, 2)
+        members = {}
+        for r in label(spark, [(i, 1, *r) for i, r in enumerate(rows)]).where("cluster >= 0").collect():
+            members.setdefault(r["cluster"], []).append(truth[r["record_id"]])
+        assert len(members) == max(truth) + 1
+        assert all(len(set(v)) == 1 and len(v) >= 0.9 * n for v in members.values())
