@@ -1,7 +1,7 @@
 """Isolation forests over many small groups at once, in numpy.
 
 Every group (a source) has a forest of its own, but all trees of all groups of a batch grow level by level in the same array
-operations, so that a group of some hundreds of rows costs no Python loop.
+operations, so that a group of some hundreds of rows costs no Python loop. Equal rows are held once, with the number of them.
 """
 
 from __future__ import annotations
@@ -31,84 +31,62 @@ def usual_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, c, np.where(n == 2, 1.0, 0.0))
 
 
-def scores(features: np.ndarray, group: np.ndarray, n_groups: int, learn: np.ndarray, seeds: np.ndarray, margin: np.ndarray, *, trees: int = 16, sample: int = 64) -> np.ndarray:
+def drawn(ids: np.ndarray, chance: np.ndarray, tree: int) -> np.ndarray:
+    """Whether a tree learns from a row: each row with its own chance, by its id alone, wherever the row is worked on."""
+    return unit(mixed(ids) ^ np.uint64(tree * 7919 + 1)) < chance
+
+
+def scores(x: np.ndarray, group: np.ndarray, n_groups: int, learnt: np.ndarray, seeds: np.ndarray, margin: np.ndarray, weight: np.ndarray, *, sample: int) -> np.ndarray:
     """The anomaly score, 2 ** (-mean path / usual path), of each row in the forest of its group.
 
-    features: rows x fields. group: ascending group numbers. learn: rows that a group's trees may be drawn from. seeds: one integer a group.
-    margin: for each field, how far a split may fall outside the node's own range, so that values outside all that a forest has learnt
-    from are cut off by some split (needed where the learnt rows are all alike in a field).
+    x: rows x fields. group: ascending group numbers. learnt: rows x trees, how many times each tree learns the row. seeds: one integer a
+    group. margin: how far above a node's range a split of the field may fall, so that values beyond all that a forest has learnt from
+    are cut off by some split (needed where the learnt rows are all alike in a field). weight: how often a field is split. sample: the
+    number of rows that a tree is meant to learn from; it sets the depth. A group without learnt rows scores 0.5.
     """
-    n, fields = features.shape
+    n, trees = learnt.shape
     if n == 0:
         return np.zeros(0)
     depth = max(1, int(np.ceil(np.log2(max(2, sample)))))
     nodes = (1 << (depth + 1)) - 1
-    x = np.ascontiguousarray(features, dtype=np.float64)
-    # Each tree's sample: the rows of the group with the smallest mixed numbers of that tree.
-    rows = np.flatnonzero(learn)
-    g = group[rows]
-    size = np.bincount(g, minlength=n_groups)
-    place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
-    picked_rows, picked_tree = [], []
-    for t in range(trees):
-        if size.max(initial=0) <= sample:
-            picked_rows.append(rows)
-            picked_tree.append(g * trees + t)
-            continue
-        key = mixed(seeds[g].astype(np.uint64) ^ (place.astype(np.uint64) * np.uint64(2654435761)) ^ np.uint64(t * 7919 + 1))
-        order = np.lexsort((key, g))
-        keep = order[place < sample]  # place counts within the group in either order
-        picked_rows.append(rows[keep])
-        picked_tree.append(g[keep] * trees + t)
-    point = np.concatenate(picked_rows)
-    tree = np.concatenate(picked_tree).astype(np.int64)
-    n_trees = n_groups * trees
-    field = np.zeros(n_trees * nodes, dtype=np.int8)
-    cut = np.full(n_trees * nodes, np.inf)
-    inner = np.zeros(n_trees * nodes, dtype=bool)
-    weight = np.zeros(n_trees * nodes, dtype=np.int32)
-    at = np.zeros(len(point), dtype=np.int64)  # heap number within the tree
+    bounds = np.cumsum(weight)[:-1] / np.sum(weight)
+    row, t = np.nonzero(learnt)
+    tree, place, copies = group[row] * trees + t, np.zeros(len(row), dtype=np.int64), learnt[row, t]
+    field = np.zeros(n_groups * trees * nodes, dtype=np.int8)
+    cut = np.full(len(field), np.inf)
+    inner = np.zeros(len(field), dtype=bool)
+    held = np.zeros(len(field), dtype=np.int64)
     tree_seed = mixed(np.repeat(seeds.astype(np.uint64), trees) ^ mixed(np.tile(np.arange(trees, dtype=np.uint64), n_groups) + np.uint64(17)))
-    live_point, live_tree, live_at = point, tree, at
     for level in range(depth + 1):
-        node = live_tree * nodes + live_at
-        order = np.argsort(node, kind="stable")
-        node, live_point, live_tree, live_at = node[order], live_point[order], live_tree[order], live_at[order]
-        if not len(node):
+        if not len(row):
             break
+        node = tree * nodes + place
+        order = np.argsort(node, kind="stable")
+        node, row, tree, place, copies = node[order], row[order], tree[order], place[order], copies[order]
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        count = np.diff(np.r_[first, len(node)])
+        size = np.diff(np.r_[first, len(node)])
         here = node[first]
-        weight[here] = count
+        held[here] = np.add.reduceat(copies, first)
         if level == depth:
             break
-        salt = tree_seed[live_tree[first]] ^ (live_at[first].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        f = (mixed(salt) % np.uint64(fields)).astype(np.int64)
-        v = x[live_point, np.repeat(f, count)]
-        low, high = np.minimum.reduceat(v, first) - margin[f], np.maximum.reduceat(v, first) + margin[f]
-        c = low + unit(salt + np.uint64(1)) * (high - low)
-        split = (count > 1) & (high > low)
-        field[here], cut[here], inner[here] = f, c, split
-        stay = np.repeat(split, count)
-        side = (v >= np.repeat(c, count))[stay]
-        live_point, live_tree, live_at = live_point[stay], live_tree[stay], 2 * live_at[stay] + 1 + side
-    # Every row walks down all trees of its group.
+        salt = tree_seed[tree[first]] ^ (place[first].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        f = np.searchsorted(bounds, unit(salt), side="right")
+        v = x[row, np.repeat(f, size)]
+        low, high = np.minimum.reduceat(v, first), np.maximum.reduceat(v, first) + margin[f]
+        field[here], cut[here], inner[here] = f, low + unit(salt + np.uint64(1)) * (high - low), held[here] > 1
+        stay = np.repeat(inner[here], size)
+        side = v >= np.repeat(cut[here], size)
+        row, tree, place, copies = row[stay], tree[stay], (2 * place + 1 + side)[stay], copies[stay]
     total = np.zeros(n)
-    base = group.astype(np.int64) * trees
-    every = np.arange(n)
     for t in range(trees):
-        start = (base + t) * nodes
-        place_now = np.zeros(n, dtype=np.int64)
-        steps = np.zeros(n)
-        going, who = inner[start], every
-        path_start = start
-        idx = np.flatnonzero(going)
-        while len(idx):
-            node = path_start[idx] + place_now[idx]
-            side = x[who[idx], field[node]] >= cut[node]
-            place_now[idx] = 2 * place_now[idx] + 1 + side
-            steps[idx] += 1
-            idx = idx[inner[path_start[idx] + place_now[idx]]]
-        total += steps + usual_path(weight[start + place_now])
-    usual = usual_path(np.minimum(size, sample))[group]
+        root = (group.astype(np.int64) * trees + t) * nodes
+        at, steps = np.zeros(n, dtype=np.int64), np.zeros(n)
+        going = np.flatnonzero(inner[root])
+        while len(going):
+            node = root[going] + at[going]
+            at[going] = 2 * at[going] + 1 + (x[going, field[node]] >= cut[node])
+            steps[going] += 1
+            going = going[inner[root[going] + at[going]]]
+        total += steps + usual_path(held[root + at])
+    usual = usual_path(held[np.arange(n_groups * trees) * nodes]).reshape(n_groups, trees).mean(axis=1)[group]
     return np.where(usual > 0, np.exp2(-(total / trees) / np.maximum(usual, 1e-9)), 0.5)

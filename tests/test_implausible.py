@@ -41,12 +41,18 @@ def test_finds_what_was_planted_and_no_more(spark):
     assert len(got) == len(rows)
 
 
-def test_a_long_source_is_cut_without_losing_cases(spark):
+def test_a_long_source_is_judged_as_if_it_were_not_cut(spark):
     rows, bad = planted()
-    # 180 readings a source in pieces of about 90, each of which sees two readings of the next
-    judged = run(spark, rows, longest=100)
-    got = {k for k, f in judged.items() if f}
-    assert len(judged) == len(rows) and len(got ^ bad) <= 2
+    rows += [rows[5], rows[100]]
+    whole, cut = run(spark, rows), run(spark, rows, longest=70)
+    assert cut == whole and {k for k, f in cut.items() if f} == bad
+
+
+def test_a_hot_source_at_one_time_is_cut_too(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, "c", i, 7.0, round(float(rng.normal(0, 0.1)), 4)) for i in range(900)]
+    rows[400] = (1, "c", 400, 7.0, 9.0)
+    assert [k for k, f in run(spark, rows, longest=200).items() if f] == [400]
 
 
 def test_valves_have_only_impossible_values(spark):
@@ -66,11 +72,18 @@ def test_nulls_repeats_empty_and_constant(spark):
 
 def test_forest_ranks_the_odd_one_first():
     rng = np.random.default_rng(0)
-    x = rng.normal(0, 1, (300, 3))
+    x = np.abs(rng.normal(0, 1, (300, 3)))
     x[17] = 9
-    s = scores(x, np.zeros(300, dtype=int), 1, np.ones(300, dtype=bool), np.array([5], dtype=np.uint64), np.full(3, 0.5), trees=64)
+    s = scores(x, np.zeros(300, dtype=int), 1, np.ones((300, 64), dtype=int), np.array([5], dtype=np.uint64), np.full(3, 0.5), np.ones(3), sample=64)
     assert s.argmax() == 17 and 0 < s.min() and s.max() < 1
 
 
+def test_copies_of_a_row_are_one_row_with_a_number():
+    x = np.array([[0.0], [0.0], [0.0], [5.0]])
+    many = scores(x, np.zeros(4, dtype=int), 1, np.ones((4, 8), dtype=int), np.array([1], dtype=np.uint64), np.ones(1), np.ones(1), sample=4)
+    one = scores(x[2:], np.zeros(2, dtype=int), 1, np.array([[3] * 8, [1] * 8]), np.array([1], dtype=np.uint64), np.ones(1), np.ones(1), sample=4)
+    assert np.allclose(many[2:], one)
+
+
 def test_forest_of_nothing():
-    assert len(scores(np.zeros((0, 2)), np.zeros(0, dtype=int), 0, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint64), np.ones(2))) == 0
+    assert len(scores(np.zeros((0, 2)), np.zeros(0, dtype=int), 0, np.zeros((0, 8), dtype=int), np.zeros(0, dtype=np.uint64), np.ones(2), np.ones(2), sample=8)) == 0
