@@ -42,7 +42,7 @@ def scores(x: np.ndarray, group: np.ndarray, n_groups: int, learnt: np.ndarray,
     x: rows x fields. group: ascending group numbers. learnt: rows x trees, how many times each tree learns the row. seeds: one integer a
     group. margin: how far above a node's range a split of the field may fall, so that values beyond all that a forest has learnt from
     are cut off by some split (needed where the learnt rows are all alike in a field). weight: how often a field is split. sample: the
-    number of rows that a tree is meant to learn from; it sets the depth. A group without learnt rows scores 0.5.
+    number of rows that a tree is meant to learn from; it sets the depth. A group whose trees learn no more than a row scores 0.
     """
     n, trees = learnt.shape
     if n == 0:
@@ -89,4 +89,4 @@ def scores(x: np.ndarray, group: np.ndarray, n_groups: int, learnt: np.ndarray,
             going = going[inner[root[going] + at[going]]]
         total += steps + usual_path(held[root + at])
     usual = usual_path(held[np.arange(n_groups * trees) * nodes]).reshape(n_groups, trees).mean(axis=1)[group]
-    return np.where(usual > 0, np.exp2(-(total / trees) / np.maximum(usual, 1e-9)), 0.5)
+    return np.where(usual > 0, np.exp2(-(total / trees) / np.maximum(usual, 1e-9)), 0.0)

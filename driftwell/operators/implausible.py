@@ -194,7 +194,7 @@ def implausible(
 
     Defined cases: rows with a null id, null time, or null or NaN value are no readings (an infinite value is impossible where the rule
     says so, else it scores 1 and is not flagged); repeated rows of one id and time count once; readings at one time are ordered by id; a source of readings all alike has
-    scatter 0 and no spikes; an empty input gives an empty result; other columns are ignored whatever their names.
+    scatter 0 and no spikes, one of a single reading scores 0; an empty input gives an empty result; other columns are ignored whatever their names.
     """
     f = forest or Forest()
     r = readings.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col(time).isNotNull() & F.col(reading_id).isNotNull()).select(
@@ -302,7 +302,7 @@ def _of_long(r: DataFrame, f: Forest, longest: int) -> DataFrame:
         group, ux, where = _distinct(part.group, x)
         n = _sampled(where, len(group), b["__id"].to_numpy(), np.full(len(b), f.sample / max(1, b["__heads"].iloc[0])), part.head & own, f.trees)
         row, tree = np.nonzero(n)
-        return pd.DataFrame({"src": b["__src"].iloc[0], "x": ux[row].tolist(), "tree": tree.astype("int32"), "n": n[row, tree]})
+        return pd.DataFrame({"src": b["__src"].iloc[0], "x": pd.Series(ux[row].tolist(), dtype=object), "tree": tree.astype("int32"), "n": n[row, tree]})
 
     # At most about trees * sample rows a source; every piece gets those of its source.
     learnt = fit.groupBy("__src", "__p").applyInPandas(learn, "src long, x array<long>, tree int, n long").groupBy("src", "x", "tree").agg(F.sum("n").alias("n"))
