@@ -32,6 +32,8 @@ WEIGHT = np.array([2.0, 1.0, 1.0, 4.0])
 FINE, BINS = 32, 64
 #: Rows worked on at once in a task; whole sources, so a little more.
 BATCH = 60_000
+#: Channels at rest up to which their names are broadcast; beyond that they are joined by shuffling.
+BROADCAST_CHANNELS = 10_000
 NOTHING = -(1 << 20)
 
 
@@ -207,6 +209,8 @@ def implausible(
     rest = of.groupBy("__ch").agg((F.sum("__d") < 0.5 * F.sum("__ok")).alias("__rests")).where("__rests").select(F.col("__ch").alias("__rch"), "__rests")
     long = of.where(F.col("__n") > longest).select(F.col("__src").alias("__lsrc"))
     some = long.limit(1).count() > 0
+    if rest.limit(BROADCAST_CHANNELS + 1).count() <= BROADCAST_CHANNELS:
+        rest = F.broadcast(rest)
     r = r.join(rest, F.col("__ch").eqNullSafe(F.col("__rch")), "left").select("__src", "__t", "__v", "__id", "__no", F.coalesce("__rests", F.lit(False)).alias("__rests"))
     short = r.join(long, F.col("__src") == F.col("__lsrc"), "left_anti") if some else r
     short = short.repartition("__src").sortWithinPartitions("__src", "__t", "__id")
