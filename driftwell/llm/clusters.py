@@ -27,7 +27,7 @@ class Field:
 class Settings:
     """Parameters of the clustering. What is kept on the driver is bounded by parts * (centres + peaks) and the clusters that there are."""
 
-    centres: int = 48  #: centres of k-means in each part to begin with; clusters are put together from touching centres, and split or added where these were too few
+    centres: int = 48  #: centres of k-means in each part to begin with; touching ones are put together, and clusters split or added where these were too few
     pieces: int = 32  #: centres by which a cluster is tried for being several crowds; what comes out is tried again
     rounds: int = 5  #: rounds of parallel seeding, each taking about 2 * centres candidates
     passes: int = 12  #: passes of Lloyd's algorithm at most
@@ -36,18 +36,22 @@ class Settings:
     scales: tuple[int, ...] = (5, 10, 20, 40, 80, 160)  #: the same for the search among records left over; crowds of any extent show at one of them
     peaks: int = 200  #: densest places of a part that a round of that search looks at; rounds go on until one finds nothing
     apart: float = 10.0  #: squared distance of means, in summed covariances, from which crowds are apart
-    reach: float = 16.5  #: squared distance, in a cluster's own spreads, up to which a record belongs to it
+    reach: float = 16.5  #: squared distance, in a cluster's own spreads, up to which a record may belong to it
     least: int = 10  #: a cluster's least number of records
     typical: int = 5  #: most typical members reported of each cluster
-    max_parts: int = 1000  #: parts beyond this are refused
+    parts_at_once: int = 1000  #: parts beyond this are worked on after them
 
 
-def vectorise(df: DataFrame, fields: Sequence[Field], slots: int) -> tuple[DataFrame, list[int]]:
-    """Adds __x, the hashed weighted feature vector, to df; null where a field is null, NaN, or not positive under a logarithm.
+def _columns(dims: int) -> list[str]:
+    return [f"__x{i}" for i in range(dims)]
+
+
+def vectorise(df: DataFrame, fields: Sequence[Field], slots: int) -> tuple[DataFrame, list[int], int]:
+    """Adds __x0, __x1, ..., the used slots of the hashed weighted feature vector, to df; null where a field is null, NaN, or not positive under a logarithm.
 
     Each field's name (and, for a string, its value) is hashed to a slot and its weighted value is added there. Numeric fields get slots of
     their own: on a clash the next seed is taken. Numbers are scaled by the range between the 1st and 99th percentile over all rows, taken by
-    one mergeable sketch. Returns the slots of the numeric fields as well.
+    one mergeable sketch. Returns the places of the numeric fields among the used slots, and the number of these, as well.
     """
     numeric = [f for f in fields if not f.text]
     for seed in range(1000):
@@ -75,15 +79,14 @@ def vectorise(df: DataFrame, fields: Sequence[Field], slots: int) -> tuple[DataF
         terms = [e for t, e in parts if t == s] + [F.when(at == s, F.lit(w)).otherwise(F.lit(0.0)) for at, w in texts]
         slot.append(sum(terms[1:], terms[0]) if terms else None)
     used = [s for s in range(slots) if slot[s] is not None]
-    vector = F.array(*[slot[s].cast("double") for s in used])
     known = None
     for i in range(len(numeric)):
         known = F.col(f"__v{i}").isNotNull() if known is None else known & F.col(f"__v{i}").isNotNull()
     for f in fields:
         if f.text:
             known = F.col(f.name).isNotNull() if known is None else known & F.col(f.name).isNotNull()
-    out = df.withColumn("__x", F.when(known, vector)).drop(*[f"__v{i}" for i in range(len(numeric))])
-    return out, [used.index(t) for t in taken]
+    out = df.select("*", *[F.when(known, slot[at].cast("double")).alias(f"__x{k}") for k, at in enumerate(used)]).drop(*[f"__v{i}" for i in range(len(numeric))])
+    return out, [used.index(t) for t in taken], len(used)
 
 
 def _slot(name: str, slots: int) -> int:
@@ -106,45 +109,47 @@ def _by_part(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     if not len(pdf):
         return
     part = pdf["__part"].to_numpy()
-    x = np.stack(pdf["__x"].to_numpy())
+    x = np.column_stack([pdf[c].to_numpy() for c in pdf.columns if c.startswith("__x")])
     for p in np.unique(part):
         rows = np.flatnonzero(part == p)
         yield int(p), rows, x[rows]
 
 
-def _seed(points: DataFrame, parts: list[int], s: Settings, seed: int) -> dict[int, np.ndarray]:
-    """k-means||: rounds of oversampled candidates by squared distance, then a weighted choice of centres among the candidates."""
+def _seed(points: DataFrame, parts: list[int], s: Settings, seed: int, dims: int) -> dict[int, np.ndarray]:
+    """k-means||: rounds of oversampled candidates by squared distance, then a weighted choice of centres among the candidates.
+
+    A round is one pass: each record has an exponential key over its squared distance, tasks keep their smallest keys, and the smallest
+    of all are a draw without replacement by that distance.
+    """
     rng = np.random.default_rng(seed)
-    first = points.groupBy("__part").agg(F.min_by("__x", F.xxhash64("__id")).alias("x")).collect()
+    cols = _columns(dims)
+    first = points.groupBy("__part").agg(F.min_by(F.array(*cols), F.xxhash64("__id")).alias("x")).collect()
     cand = {r["__part"]: np.array([r["x"]]) for r in first}
+    wanted = 2 * s.centres
+    fields = "part int, key double, " + ", ".join(f"{c} double" for c in cols)
 
-    def cost(batches, now):
-        total: dict[int, float] = {}
+    def draw(batches, now, salt):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for p, _, x in _by_part(b):
-                total[p] = total.get(p, 0.0) + float(_sq(x, now[p]).min(axis=1).sum())
-        yield pd.DataFrame({"part": list(total), "cost": list(total.values())}).astype({"part": "int32", "cost": "float64"})
-
-    def draw(batches, now, costs, wanted, salt):
-        for b in batches:
-            got = []
             for p, rows, x in _by_part(b):
-                if costs.get(p, 0.0) <= 0:
-                    continue
-                chance = wanted * _sq(x, now[p]).min(axis=1) / costs[p]
-                u = b["__u"].to_numpy()[rows]
-                pick = np.mod(u * 1_000_003.0 + salt * 0.6180339887498949, 1.0) < chance
-                got += [(p, list(map(float, v))) for v in x[pick]]
-            if got:
-                yield pd.DataFrame(got, columns=["part", "x"])
+                d = _sq(x, now[p]).min(axis=1)
+                u = np.mod(b["__u"].to_numpy()[rows] * 1_000_003.0 + salt * 0.6180339887498949, 1.0)
+                with np.errstate(divide="ignore"):
+                    key = np.where(d > 0, -np.log(np.maximum(u, 1e-300)) / np.where(d > 0, d, 1.0), np.inf)
+                if p in best:
+                    key, x = np.concatenate([best[p][0], key]), np.concatenate([best[p][1], x])
+                keep = np.argsort(key, kind="stable")[:wanted]
+                best[p] = key[keep], x[keep]
+        for p, (key, x) in best.items():
+            ok = np.isfinite(key)
+            yield pd.DataFrame({"part": np.full(ok.sum(), p, "int32"), "key": key[ok]} | {c: x[ok, i] for i, c in enumerate(cols)})
 
     for r in range(s.rounds):
         now = dict(cand)
-        sums = points.mapInPandas(lambda it, now=now: cost(it, now), "part int, cost double").groupBy("part").agg(F.sum("cost").alias("c")).collect()
-        costs = {x["part"]: x["c"] for x in sums}
-        more = points.mapInPandas(lambda it, now=now, costs=costs, r=r: draw(it, now, costs, 2.0 * s.centres, r + 1), "part int, x array<double>").collect()
+        drawn = points.mapInPandas(lambda it, now=now, r=r: draw(it, now, r + 1), fields)
+        more = drawn.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("key", *cols))).where(F.col("r") <= wanted).collect()
         for p in parts:
-            new = [x["x"] for x in more if x["part"] == p]
+            new = [[x[c] for c in cols] for x in more if x["part"] == p]
             if new:
                 cand[p] = np.unique(np.concatenate([cand[p], np.array(new)]), axis=0)
     now = dict(cand)
@@ -167,7 +172,7 @@ def _seed(points: DataFrame, parts: list[int], s: Settings, seed: int) -> dict[i
                 w[x["i"]] = x["w"]
         chosen = [int(w.argmax())]
         far = _sq(c, c[chosen]).min(axis=1)
-        while len(chosen) < min(s.centres, len(c), max(8, int(w.sum()) // max(1, s.least // 2))):
+        while len(chosen) < min(s.centres, len(c), 1 + int(w.sum()) // max(1, s.least // 2)):  # a part holds no more clusters than its records over ``least``
             chance = np.sqrt(w) * far  # the root keeps one huge crowd from taking all centres
             if chance.sum() <= 0:
                 break
@@ -280,7 +285,7 @@ def _shape(v: np.ndarray, dims: int) -> tuple:
 
 
 def _membership(shapes: dict[int, dict[int, tuple]], reach: float):
-    """assign(part, x): the cluster with the smallest distance in its own spreads, -1 beyond reach; distances come with it."""
+    """assign(part, x): the nearest centroid of those whose clusters reach so far in their own spreads, -1 beyond reach; distances come with it."""
     ready = {}
     for p, groups in shapes.items():
         ready[p] = [(k, mean, np.linalg.inv(cov + np.eye(len(mean)) * 1e-9)) for k, (n, mean, cov) in sorted(groups.items())]
@@ -289,66 +294,79 @@ def _membership(shapes: dict[int, dict[int, tuple]], reach: float):
         best, who = np.full(len(x), np.inf), np.full(len(x), -1, dtype=np.int64)
         for k, mean, inverse in ready.get(p, []):
             y = x - mean
-            d = np.einsum("ij,jk,ik->i", y, inverse, y)
+            d = np.where(((y @ inverse) * y).sum(axis=1) <= reach, (y * y).sum(axis=1), np.inf)
             nearer = d < best
             best, who = np.where(nearer, d, best), np.where(nearer, k, who)
-        who = np.where(best <= reach, who, -1)
         return (who, best) if distances else who
 
     return assign
 
 
 def cluster_records(df: DataFrame, *, record_id: str, part: Column, fields: Sequence[Field], settings: Settings | None = None, seed: int = 7) -> DataFrame:
-    """record_id, part, cluster, distance: the cluster of each record, -1 for records of none; distance is in the cluster's own spreads.
+    """record_id, part, cluster, distance: the cluster of each record, -1 for records of none; distance is that from the cluster's centroid.
 
     1. Records become hashed weighted vectors (see vectorise).
     2. Records that stand where no crowd is - their cell and its neighbours along each axis hold hardly more than a thin scatter would put
        there - take no part in seeding and centring, so that strays draw no centres.
     3. Centres are seeded in parallel by oversampling (k-means||) and moved by Lloyd's passes, every pass one aggregation summed in the
        tasks. All parts are worked on at once. Centres whose records are slices of one crowd are joined.
-    4. Each cluster's mean and covariance are taken, twice again over the records within reach, and every record goes to the cluster it is
-       nearest to in that cluster's own spreads, if within reach. Clusters of fewer than ``least`` records are none.
-    5. Where there are more crowds than centres a cluster holds several: each is tried by centres of its own and split, until none comes apart.
-    6. The records beyond reach are searched for crowds that stand out from what lies around them, whatever the size of the part, until a
-       search finds none (see _left_over).
+    4. The number of centres is fitted: each cluster is tried by centres of its own and split where it holds several crowds, and the
+       records beyond reach of all are searched for crowds that stand out from what lies around them, whatever the size of the part; both
+       until nothing is found (see _split and _left_over). Clusters of fewer than ``least`` records are none.
+    5. Lloyd's passes run again from the fitted centres over all records. Every record goes to its nearest centroid; those that lie
+       beyond ``reach`` of a cluster's own spreads are none of its records, so that strays stay out and move no centroid.
 
-    No record is sampled away: each pass runs over all rows. The driver holds parts * centres vectors, whatever the number of rows.
+    No record is sampled away: each pass runs over all rows. The driver holds parts * centres vectors, whatever the number of rows; parts
+    are worked on ``parts_at_once`` at a time.
 
     Defined cases: a null, NaN or infinite field (or one that is not positive where its logarithm is taken), or a null part, makes a record of no cluster
     (-1, distance null); repeated ids are records of their own; equal records share a cluster; an empty input gives an empty
-    result; other columns are ignored. More than ``max_parts`` parts raise ValueError.
+    result; other columns are ignored.
     """
     s = settings or Settings()
     base = df.select(F.col(record_id).alias("__id"), part.cast("int").alias("__part"), *[F.col(f.name) for f in fields])
-    vectors, axes = vectorise(base, fields, s.slots)
-    vectors = vectors.select("__id", "__part", F.when(F.col("__part").isNotNull(), F.col("__x")).alias("__x"))
-    whole = vectors.where("__x is not null").persist(StorageLevel.MEMORY_AND_DISK)
-    spark = df.sparkSession
-    counts = {r["__part"]: r["n"] for r in whole.groupBy("__part").agg(F.count("*").alias("n")).limit(s.max_parts + 1).collect()}
-    if len(counts) > s.max_parts:
-        raise ValueError(f"more than {s.max_parts} parts")
-    schema = "record_id long, part int, cluster int, distance double"
-    if not counts:
-        return vectors.select(F.col("__id").alias("record_id"), F.col("__part").alias("part"), F.lit(-1).alias("cluster"), F.lit(None).cast("double").alias("distance"))
-    dims = len(whole.first()["__x"])
-    parts = sorted(counts)
-
-    points = _crowded(whole, axes, counts, s).withColumn("__u", (F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0))).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors, axes, dims = vectorise(base, fields, s.slots)
+    cols = _columns(dims)
+    known = F.col("__part").isNotNull() & F.col("__x0").isNotNull()
+    whole = vectors.where(known).select("__id", "__part", *cols).persist(StorageLevel.MEMORY_AND_DISK)
+    none = vectors.where(~known).select(F.col("__id").cast("long").alias("record_id"), F.col("__part").alias("part"), F.lit(-1).alias("cluster"), F.lit(None).cast("double").alias("distance"))
+    last = None
+    while True:
+        rest = whole if last is None else whole.where(F.col("__part") > last)
+        counts = {r["__part"]: r["n"] for r in rest.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").limit(s.parts_at_once).collect()}
+        if counts:
+            some = whole if last is None and len(counts) < s.parts_at_once else whole.where(F.col("__part").between(min(counts), max(counts)))
+            none = none.unionByName(_labelled(some, axes, dims, counts, s, seed))
+            last = max(counts)
+        if len(counts) < s.parts_at_once:
+            return none
+
+
+def _labelled(whole: DataFrame, axes: list[int], dims: int, counts: dict[int, int], s: Settings, seed: int) -> DataFrame:
+    cols, parts = _columns(dims), sorted(counts)
+    points = _crowded(whole, axes, counts, s).withColumn("__u", F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)).persist(StorageLevel.MEMORY_AND_DISK)
     present = [r["__part"] for r in points.select("__part").distinct().collect()]
     big = lambda g: {k: _shape(v, dims) for k, v in g.items() if v[0] >= s.least}
     shapes: dict[int, dict[int, tuple]] = {p: {} for p in parts}
     if present:
-        centres = _lloyd(points, _seed(points, present, s, seed), s.passes)
+        centres = _lloyd(points, _seed(points, present, s, seed, dims), s.passes)
         near = lambda p, x: _sq(x, centres[p]).argmin(axis=1) if p in centres else np.full(len(x), -1)
         shapes = {p: big(_merged(g, s.apart)) for p, g in _sums(points, near, dims, parts).items()}
         for _ in range(2):
             shapes = {p: big(_merged(g, s.apart)) for p, g in _sums(whole, _membership(shapes, s.reach), dims, parts).items()}
+    points.unpersist()
     while True:
         shapes = _split(whole, shapes, dims, s, seed)
         before = sum(map(len, shapes.values()))
         shapes = _left_over(whole, axes, shapes, dims, s)
         if sum(map(len, shapes.values())) == before:
             break
+    for _ in range(s.passes):
+        moved = {p: big(g) for p, g in _sums(whole, _membership(shapes, s.reach), dims, parts).items()}
+        far = max((float(np.abs(m - shapes[p][k][1]).max()) for p, g in moved.items() for k, (_, m, _) in g.items()), default=0.0)
+        same, shapes = all(moved[p].keys() == shapes[p].keys() for p in parts), moved
+        if same and far < 1e-3:
+            break
     number = {p: {k: i for i, k in enumerate(sorted(g, key=lambda k: (-g[k][0], k)))} for p, g in shapes.items()}
     assign = _membership(shapes, s.reach)
 
@@ -361,17 +379,16 @@ def cluster_records(df: DataFrame, *, record_id: str, part: Column, fields: Sequ
                 distance[rows] = np.where(who >= 0, np.sqrt(d), np.nan)
             yield pd.DataFrame({"record_id": b["__id"], "part": b["__part"], "cluster": cluster, "distance": distance})
 
-    found = whole.select("__id", "__part", "__x").mapInPandas(label, schema)
-    none = vectors.where("__x is null").select(F.col("__id").cast("long").alias("record_id"), F.col("__part").alias("part"), F.lit(-1).alias("cluster"), F.lit(None).cast("double").alias("distance"))
-    points.unpersist()
-    return found.withColumn("distance", F.nanvl("distance", F.lit(None))).unionByName(none)
+    found = whole.select("__id", "__part", *cols).mapInPandas(label, "record_id long, part int, cluster int, distance double")
+    return found.withColumn("distance", F.nanvl("distance", F.lit(None)))
 
 
 def _crowded(whole: DataFrame, axes: list[int], counts: dict[int, int], s: Settings) -> DataFrame:
     """The records that stand in crowds: their cell and the cells one step along each numeric axis hold enough of the part's records."""
     if not axes:
         return whole
-    cell = whole.select("__part", F.array(*[F.floor(F.col("__x")[a] * s.cells).cast("int") for a in axes]).alias("__c"))
+    at = F.array(*[F.floor(F.col(f"__x{a}") * s.cells).cast("int") for a in axes])
+    cell = whole.select("__part", at.alias("__c"))
     n = cell.groupBy("__part", "__c").agg(F.count("*").alias("__n"))
     step = [F.transform(F.array(*[F.col("__c")[i] + (d if i == j else 0) for i in range(len(axes))]), lambda x: x.cast("int")) for j in range(len(axes)) for d in (-1, 1)]
     around = n.select("__part", F.explode(F.array(F.col("__c"), *step)).alias("__c"), "__n").groupBy("__part", "__c").agg(F.sum("__n").alias("__near"))
@@ -379,8 +396,7 @@ def _crowded(whole: DataFrame, axes: list[int], counts: dict[int, int], s: Setti
     # A quarter of what the whole part would put there if it were scattered evenly, and never fewer than four records.
     even = F.element_at(total, F.col("__part")) * 0.25 * (len(step) + 1) / float(s.cells ** len(axes))
     kept = around.where(F.col("__near") >= F.greatest(F.lit(4.0), even)).select("__part", "__c")
-    here = whole.withColumn("__c", F.array(*[F.floor(F.col("__x")[a] * s.cells).cast("int") for a in axes]))
-    return here.join(kept, ["__part", "__c"], "left_semi").select("__id", "__part", "__x")
+    return whole.withColumn("__c", at).join(kept, ["__part", "__c"], "left_semi").drop("__c")
 
 
 def _split(whole: DataFrame, shapes: dict[int, dict[int, tuple]], dims: int, s: Settings, seed: int) -> dict[int, dict[int, tuple]]:
@@ -389,6 +405,8 @@ def _split(whole: DataFrame, shapes: dict[int, dict[int, tuple]], dims: int, s:
     Each cluster is clustered by itself like a part, all of them at once; clumped ones by more and more pieces until they come apart. A round takes up only parts that the last one gave more clusters,
     so it ends.
     """
+    cols = _columns(dims)
+    wide = ", ".join(f"{c} double" for c in cols)
     shapes = {p: dict(g) for p, g in shapes.items()}
     searched = sorted(shapes)
     while searched:
@@ -411,18 +429,18 @@ def _split(whole: DataFrame, shapes: dict[int, dict[int, tuple]], dims: int, s:
                         mean, inverse, h = frames[i]
                         for y in np.floor((x[at == i] - mean) @ inverse.T / h).astype("int64").T:
                             cell[at == i] = cell[at == i] * 1_000_003 + y
-                    yield b.iloc[rows[at >= 0]][["__id", "__x"]].assign(__part=at[at >= 0], __c=cell[at >= 0])
+                    yield b.iloc[rows[at >= 0]][["__id", *cols]].assign(__part=at[at >= 0], __c=cell[at >= 0])
 
-        own = whole.where(F.col("__part").isin(searched)).select("__id", "__part", "__x").mapInPandas(inside, "__id long, __part int, __x array<double>, __c long")
+        own = whole.where(F.col("__part").isin(searched)).select("__id", "__part", *cols).mapInPandas(inside, f"__id long, __part int, {wide}, __c long")
         own = own.withColumn("__u", F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)).persist(StorageLevel.MEMORY_AND_DISK)
         # Pairs of different vectors in one cell: clearly more than in one crowd of the cluster's own mean and spreads tell that it is clumped.
-        pairs = own.select("__part", "__c", "__x").distinct().groupBy("__part", "__c").agg(F.count("*").cast("double").alias("n")).groupBy("__part").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("m")).collect()
+        pairs = own.select("__part", "__c", *cols).distinct().groupBy("__part", "__c").agg(F.count("*").cast("double").alias("n")).groupBy("__part").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("m")).collect()
         clumped = {r["__part"]: r["m"] > 3 * r["n"] * (r["n"] - 1) * (frames[r["__part"]][2] / np.sqrt(4 * np.pi)) ** dims for r in pairs}
         present, pieces = sorted(clumped), s.pieces
         got: dict[int, dict[int, np.ndarray]] = {}
         while present:
             some = own.where(F.col("__part").isin(present))
-            centres = _lloyd(some, _seed(some, present, replace(s, centres=pieces, rounds=2), seed), 5)
+            centres = _lloyd(some, _seed(some, present, replace(s, centres=pieces, rounds=2), seed, dims), 5)
             for i, g in _sums(some, lambda p, x, centres=centres: _sq(x, centres[p]).argmin(axis=1), dims, present).items():
                 got[i] = _merged(g, s.apart)
             # A clumped cluster that does not come apart holds more crowds than pieces.
@@ -454,9 +472,10 @@ def _peaks(left: DataFrame, axes: list[int], dims: int, s: Settings) -> dict[int
     """
     d = len(axes)
     step = lambda c: F.array(c, *[F.transform(F.array(*[F.get(c, F.lit(i)) + (by if i == j else 0) for i in range(d)]), lambda x: x.cast("int")) for j in range(d) for by in (-1, 1)])
-    grids = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.array(*[F.floor(F.col("__x")[a] * m).cast("int") for a in axes]).alias("c")) for m in s.scales]))
-    cells = left.select("__part", "__x", grids.alias("g")).select("__part", "g.m", "g.c", "__x").groupBy("__part", "m", "c")
-    n = cells.agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("__x")[i]) for i in range(dims)]).alias("x"))
+    grids = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.array(*[F.floor(F.col(f"__x{a}") * m).cast("int") for a in axes]).alias("c")) for m in s.scales]))
+    cols = _columns(dims)
+    cells = left.select("__part", *cols, grids.alias("g")).select("__part", "g.m", "g.c", *cols).groupBy("__part", "m", "c")
+    n = cells.agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in cols]).alias("x"))
     near = n.select("__part", "m", F.explode(step(F.col("c"))).alias("c"), "n").groupBy("__part", "m", "c").agg(F.sum("n").alias("near"))
     block = F.transform("c", lambda x: F.floor(x / 4).cast("int"))
     wide = n.select("__part", "m", block.alias("b"), "n").groupBy("__part", "m", "b").agg(F.sum("n").alias("n"))
@@ -500,6 +519,7 @@ def _left_over(whole: DataFrame, axes: list[int], shapes: dict[int, dict[int, tu
     if not axes:
         return shapes
     shapes = {p: dict(g) for p, g in shapes.items()}
+    cols = _columns(dims)
     core, shell = 2.1 * dims, 2.25 * s.reach
     shrunk = _below(core, dims + 2) / _below(core, dims)
     around = (shell ** (dims / 2) - s.reach ** (dims / 2)) or 1.0
@@ -510,9 +530,9 @@ def _left_over(whole: DataFrame, axes: list[int], shapes: dict[int, dict[int, tu
         def beyond(batches, taken=taken):
             for b in batches:
                 for p, rows, x in _by_part(b):
-                    yield b.iloc[rows[taken(p, x) < 0]][["__part", "__x"]]
+                    yield b.iloc[rows[taken(p, x) < 0]][["__part", *cols]]
 
-        left = whole.where(F.col("__part").isin(searched)).select("__part", "__x").mapInPandas(beyond, "__part int, __x array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+        left = whole.where(F.col("__part").isin(searched)).select("__part", *cols).mapInPandas(beyond, "__part int, " + ", ".join(f"{c} double" for c in cols)).persist(StorageLevel.MEMORY_AND_DISK)
         new: dict[int, dict[int, tuple]] = {}
         for p, places in _peaks(left, axes, dims, s).items():
             start = lambda w: np.diag([(0.6 * w) ** 2 if i in axes else 0.25 for i in range(dims)])
