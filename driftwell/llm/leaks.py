@@ -6,19 +6,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of a block of a passage, each of which gives its rarest term, a pair of successive words, to the search.
-BLOCK = 4
-#: Width of the bands of offsets (place in the text less place in the passage) in which hits are brought together.
-BAND = 32
-#: Different terms of a passage in one band that make a candidate, fewer only for passages of fewer blocks. A run of 16 words holds three whole blocks of places.
-NEED = 3
-#: Part of the number of texts up to which a term's frequency is rare.
-RARE = 0.0005
-#: Terms of the passages up to which they are broadcast; beyond that they are joined by shuffling.
-BROADCAST_TERMS = 1_000_000
+#: Different terms of a passage in one band of offsets that make a candidate; fewer only for passages of fewer.
+NEED = 8
+#: Terms of all passages, counted, up to which they are broadcast; beyond that they are joined by shuffling.
+BROADCAST_TERMS = 500_000
+#: Candidate pairs, counted, up to which they are broadcast to the texts; beyond that they are joined by shuffling.
+BROADCAST_PAIRS = 1_000_000
 
 # What is taken out of a text before it is cut into words, in this order (pattern, replacement). Texts that don't hold a MARK
 # need only what is in PLAIN.
@@ -54,15 +50,21 @@ def words(text: Column) -> Column:
 
 
 def _terms(words_: str) -> Column:
-    """The terms of a text: each word with the next one, as one hash; the last word stands alone."""
+    """The terms of a list of words: each word with the next one, and each with the next but one, as hashes with the place of the first."""
     w = F.col(words_)
-    return F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))
+
+    def pairs(gap: int) -> Column:
+        n = F.greatest(F.size(w) - gap, F.lit(0))
+        hashes = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(1 + gap), n), lambda a, b: F.xxhash64(a, b))
+        return F.transform(hashes, lambda h, i: F.struct(i.cast("int").alias("pos"), F.lit(gap).cast("byte").alias("gap"), h.alias("term")))
+
+    return F.concat(pairs(1), pairs(2))
 
 
 def positional_index(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """term, doc, pos: every pair of successive words of every text, as a hash, with its place. Store it partitioned by term to search it often."""
+    """term, doc, pos: every pair of successive words, and of words with one between, of every text, as a hash, with its place. Store it partitioned by term to search it often."""
     texts = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), words(F.col(text)).alias("__w"))
-    return texts.select("doc", F.posexplode(_terms("__w")).alias("pos", "term")).select("term", "doc", "pos")
+    return texts.select("doc", F.inline(_terms("__w"))).select("term", "doc", "pos")
 
 
 def align(passage: list[str], text: list[str]) -> tuple[int, int]:
@@ -93,58 +95,52 @@ def find_leaks(
     A text holds a passage if ``run`` consecutive words of it stand there, or at least ``share`` of its words in order with only single
     words altered, replaced, dropped or added between. A passage of fewer than ``run`` words is held where all its words stand together.
 
-    1. The texts' positional index, whose terms are pairs of successive words, gives the frequency of the passages' terms over all texts.
-    2. Each block of four places of a passage gives its rarest term, and all terms as rare as RARE are taken. The postings of these terms, less their place in the passage, are
-       brought together by text, passage and band of offsets; NEED different terms in one band make a candidate. Sixteen words in a
-       row hold three whole blocks, so no exact match can be missed; an altered half of a passage has many
-       blocks, most of which keep their term.
+    1. The texts' positional index, whose terms are pairs of words next to each other or with one between, gives the frequency of the
+       passages' terms over all texts.
+    2. Words found in order with at most one odd word between them are pairs of this kind on both sides, so a text that holds a passage has at
+       least as many of its terms as such words follow each other. All but so many of each passage's terms search, the rarest ones, that NEED of
+       them still hit: by the pigeonhole principle no text is missed. Postings less their place in the passage are brought together by text,
+       passage and band of offsets, twice as wide as offsets can drift; NEED different terms in one band make a candidate.
     3. Candidates are aligned word by word.
 
-    Whole texts are indexed, and no term, text or candidate is left out. The passages' terms are broadcast only if counted to be at most
-    BROADCAST_TERMS, else the same joins shuffle. ``index`` may be a stored positional_index of the same documents.
+    Whole texts are indexed, and no text or candidate is left out. The passages' terms, and the candidates, are broadcast only if counted to
+    be at most BROADCAST_TERMS and BROADCAST_PAIRS, else the same joins shuffle. ``index`` may be a stored positional_index of the same documents.
 
     Defined cases: null or empty texts and passages match nothing, nor do passages of one word; copies of a text are each reported; repeated rows of one pair of ids come out
     once; empty tables give an empty result; other columns are ignored.
     """
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("__text"))
     tests = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).alias("item"), words(F.col(passage)).alias("__p")).where(F.size("__p") > 1)
-    # Without the last word, whose term has no word after it.
-    terms = tests.select("item", F.posexplode(F.slice(_terms("__p"), F.lit(1), F.size("__p") - 1)).alias("ipos", "term"))
-    vocabulary = terms.select("term").distinct()
-    small = F.broadcast if vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
+    length = F.size("__p")
+    exact = 2 * F.least(F.lit(run), length) - 3
+    altered = F.when(length >= run, F.ceil(length * F.lit(share)) - 1).otherwise(exact)
+    least = F.greatest(F.lit(1), F.least(exact, altered))  # terms that a text holding the passage has at least
+    terms = tests.select("item", length.alias("__l"), least.cast("int").alias("__least"), F.inline(_terms("__p"))).withColumnRenamed("pos", "ipos")
+    small = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
     postings = index if index is not None else positional_index(docs, "doc", "__text")
     # Only postings of the passages' terms go on; they are kept, as both the counts and the search need them.
-    postings = postings.join(small(vocabulary), "term").persist(StorageLevel.MEMORY_AND_DISK)
-    postings.count()  # made once, before two stages ask for them at the same time
+    postings = postings.join(small(terms.select("term").distinct()), "term").persist(StorageLevel.MEMORY_AND_DISK)
     counts = postings.groupBy("term").agg(F.count("*").alias("n"))
-    ranked = terms.join(counts, "term", "left").select("item", "ipos", "term", F.coalesce("n", F.lit(0)).alias("n"))
-    # Short passages have smaller blocks, so that two terms can hit.
-    length = terms.groupBy("item").agg(F.count("*").alias("__l"))
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr("cast(__l as int) div 4")))
-    anchors = ranked.join(length, "item").groupBy("item", F.floor(F.col("ipos") / block).alias("__block")).agg(F.min(F.struct("n", "ipos", "term")).alias("__a"))
-    anchors = anchors.select("item", F.col("__a.ipos").alias("ipos"), F.col("__a.term").alias("term"))
-    # All terms that are rare anyway search as well: in a text altered at many places the rarest of a block may be just the altered ones.
-    rare = ranked.where(F.col("n") <= F.greatest(F.lit(20), F.lit(RARE) * docs.agg(F.count("*")).scalar())).select("item", "ipos", "term")
-    anchors = anchors.unionByName(rare).distinct()
-    hits = postings.join(small(anchors), "term").select("doc", "item", "ipos", (F.col("pos") - F.col("ipos")).alias("__d"))
+    ranked = terms.join(counts, "term", "left").withColumn("__r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc(F.coalesce("n", F.lit(0))), "ipos", "gap")))
+    need = F.least(F.lit(NEED), F.col("__least"))
+    searching = ranked.where(F.col("__r") > F.col("__least") - need).select("term", "item", (F.col("ipos") * 2 + F.col("gap") - 1).alias("__k"), "ipos", "__l", need.alias("__need"))
+    hits = postings.join(small(searching), "term").select("doc", "item", "__k", (F.col("pos") - F.col("ipos")).alias("__d"), (2 * F.col("__l")).alias("__w"), "__need")
     # Bands overlap by half, so that offsets that drift over a border still meet.
-    hits = hits.select("doc", "item", "ipos", F.explode(F.array(F.floor(F.col("__d") / BAND) * 2, F.floor((F.col("__d") + BAND // 2) / BAND) * 2 + 1)).alias("__band"))
-    need = F.least(F.lit(NEED), F.greatest(F.lit(1), F.expr("(__l + 1 - block) div block")))
-    needed = length.withColumn("block", block).select("item", need.alias("__need"))
-    near = hits.groupBy("doc", "item", "__band").agg(F.size(F.collect_set("ipos")).alias("__hits")).join(small(needed), "item").where(F.col("__hits") >= F.col("__need"))
-    pairs = near.select("doc", "item").distinct().join(small(tests), "item").groupBy("doc").agg(F.collect_list(F.struct("item", F.col("__p").alias("p"))).alias("__items"))
-    rows = pairs.join(docs, "doc").select("doc", "__items", words(F.col("__text")).alias("__t"))
+    bands = F.array(F.floor(F.col("__d") / F.col("__w")) * 2, F.floor((F.col("__d") + F.col("__l2")) / F.col("__w")) * 2 + 1)
+    hits = hits.withColumn("__l2", F.expr("__w div 2")).select("doc", "item", "__k", "__need", F.explode(bands).alias("__band"))
+    near = hits.groupBy("doc", "item", "__band", "__need").agg(F.size(F.collect_set("__k")).alias("__hits")).where(F.col("__hits") >= F.col("__need"))
+    pairs = near.select("doc", "item").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else (lambda df: df)
+    postings.unpersist()
+    rows = docs.join(few(pairs), "doc").join(small(tests), "item").select("doc", "item", "__p", words(F.col("__text")).alias("__t"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, tests_of, t in zip(b["doc"], b["__items"], b["__t"], strict=True):
-                t = list(t)
-                for x in tests_of:
-                    size = len(x["p"])
-                    matched, longest = align(list(x["p"]), t)
-                    if longest >= min(run, size) or (matched >= share * size and size >= run):
-                        out.append((doc, x["item"], matched, longest, matched / size))
+            for doc, item, p, t in zip(b["doc"], b["item"], b["__p"], b["__t"], strict=True):
+                matched, longest = align(list(p), list(t))
+                if longest >= min(run, len(p)) or (matched >= share * len(p) and len(p) >= run):
+                    out.append((doc, item, matched, longest, matched / len(p)))
             yield pd.DataFrame(out, columns=["doc", "item", "matched", "longest_run", "share"])
 
     ids = {"doc": docs.schema["doc"].dataType.simpleString(), "item": tests.schema["item"].dataType.simpleString()}

@@ -37,6 +37,17 @@ def test_parts_and_alterations(spark):
     assert run(spark, texts) == [(0, 1), (2, 1), (3, 1), (4, 1)]
 
 
+def test_every_second_word_altered_in_a_passage_that_is_everywhere(spark):
+    w = PASSAGE.split()
+    often = [PASSAGE + f" copy {k}" for k in range(30)] + [" ".join(f"w{k}{i}" if i % 2 else x for i, x in enumerate(w)) for k in range(30)]
+    long = (PASSAGE + " " + OTHER).split()
+    items = [(1, PASSAGE, ""), (7, " ".join(long), "")]
+    dropped = " ".join(x for i, x in enumerate(long) if i % 2 == 0)
+    got = run(spark, [*often, dropped, FILL], items)
+    want = {(k, 1) for k in range(60)} | {(k, 7) for k in range(30)} | {(60, 7)}
+    assert want <= set(got) and not [x for x in got if x[0] == 61]
+
+
 def test_several_items_copies_nulls_and_long_texts(spark):
     texts = [PASSAGE + " " + OTHER, PASSAGE, PASSAGE, None, "", FILL * 15_000 + OTHER + FILL * 15_000, "日本語の文章だけ。", "Single"]
     assert run(spark, texts) == [(0, 1), (0, 2), (1, 1), (2, 1), (5, 2)]
