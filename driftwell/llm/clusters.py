@@ -258,15 +258,23 @@ def _merged(sums: dict[int, np.ndarray], apart: float) -> dict[int, np.ndarray]:
 def _sums(points: DataFrame, assign, dims: int, parts: Sequence[int]) -> dict[int, dict[int, np.ndarray]]:
     """n, sum and sum of squares of the vectors of each cluster under assign(part, x) -> cluster number or -1; one pass, summed in the tasks first."""
 
+    def members(p: int, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        g = assign(p, x)
+        for k in np.unique(g[g >= 0]):
+            yield int(k), x[g == k]
+
+    return _summed(points, members, dims, parts)
+
+
+def _summed(points: DataFrame, members, dims: int, parts: Sequence[int]) -> dict[int, dict[int, np.ndarray]]:
+    """The same for members(part, x) -> (cluster number, its vectors), which may overlap."""
+
     def sums(batches):
         total: dict[tuple, np.ndarray] = {}
         for b in batches:
             for p, _, x in _by_part(b):
-                g = assign(p, x)
-                for k in np.unique(g[g >= 0]):
-                    y = x[g == k]
-                    v = np.r_[len(y), y.sum(axis=0), (y.T @ y).ravel()]
-                    total[(p, int(k))] = total.get((p, int(k)), 0) + v
+                for k, y in members(p, x):
+                    total[(p, k)] = total.get((p, k), 0) + np.r_[len(y), y.sum(axis=0), (y.T @ y).ravel()]
         if total:
             yield pd.DataFrame([(p, k, list(map(float, v))) for (p, k), v in total.items()], columns=["part", "k", "s"])
 
@@ -278,14 +286,28 @@ def _sums(points: DataFrame, assign, dims: int, parts: Sequence[int]) -> dict[in
     return out
 
 
+def _near(shapes: dict[int, dict[int, tuple]], bound: float):
+    """members(part, x): the vectors within the squared distance of each shape, in its own spreads."""
+    ready = {p: [(k, mean, np.linalg.inv(cov + np.eye(len(mean)) * 1e-9)) for k, (_, mean, cov) in sorted(g.items())] for p, g in shapes.items()}
+
+    def members(p: int, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for k, mean, inverse in ready.get(p, []):
+            y = x - mean
+            inside = ((y @ inverse) * y).sum(axis=1) <= bound
+            if inside.any():
+                yield k, x[inside]
+
+    return members
+
+
 def _shape(v: np.ndarray, dims: int) -> tuple:
     """(n, mean, covariance) from sums."""
     n, mean = v[0], v[1 : 1 + dims] / v[0]
     return n, mean, v[1 + dims :].reshape(dims, dims) / n - np.outer(mean, mean)
 
 
-def _membership(shapes: dict[int, dict[int, tuple]], reach: float):
-    """assign(part, x): the nearest centroid of those whose clusters reach so far in their own spreads, -1 beyond reach; distances come with it."""
+def _membership(shapes: dict[int, dict[int, tuple]], reach: float, *, plain: bool = False):
+    """assign(part, x): the nearest centroid, in each cluster's own spreads, or (``plain``) by distance among the clusters that reach so far; -1 beyond reach. Distances come with it."""
     ready = {}
     for p, groups in shapes.items():
         ready[p] = [(k, mean, np.linalg.inv(cov + np.eye(len(mean)) * 1e-9)) for k, (n, mean, cov) in sorted(groups.items())]
@@ -294,7 +316,8 @@ def _membership(shapes: dict[int, dict[int, tuple]], reach: float):
         best, who = np.full(len(x), np.inf), np.full(len(x), -1, dtype=np.int64)
         for k, mean, inverse in ready.get(p, []):
             y = x - mean
-            d = np.where(((y @ inverse) * y).sum(axis=1) <= reach, (y * y).sum(axis=1), np.inf)
+            d = ((y @ inverse) * y).sum(axis=1)
+            d = np.where(d <= reach, (y * y).sum(axis=1) if plain else d, np.inf)
             nearer = d < best
             best, who = np.where(nearer, d, best), np.where(nearer, k, who)
         return (who, best) if distances else who
@@ -362,13 +385,13 @@ def _labelled(whole: DataFrame, axes: list[int], dims: int, counts: dict[int, in
         if sum(map(len, shapes.values())) == before:
             break
     for _ in range(s.passes):
-        moved = {p: big(g) for p, g in _sums(whole, _membership(shapes, s.reach), dims, parts).items()}
+        moved = {p: big(g) for p, g in _sums(whole, _membership(shapes, s.reach, plain=True), dims, parts).items()}
         far = max((float(np.abs(m - shapes[p][k][1]).max()) for p, g in moved.items() for k, (_, m, _) in g.items()), default=0.0)
         same, shapes = all(moved[p].keys() == shapes[p].keys() for p in parts), moved
         if same and far < 1e-3:
             break
     number = {p: {k: i for i, k in enumerate(sorted(g, key=lambda k: (-g[k][0], k)))} for p, g in shapes.items()}
-    assign = _membership(shapes, s.reach)
+    assign = _membership(shapes, s.reach, plain=True)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -512,8 +535,9 @@ def _left_over(whole: DataFrame, axes: list[int], shapes: dict[int, dict[int, tu
     """shapes with the crowds that are found among the records beyond reach of all of them.
 
     A round looks at the places where such records are densest. Mean and spreads are taken over the records near each, freed of the
-    cut at a core's border; places that come to lie in one crowd are joined. A crowd is new if it has ``least`` records of no cluster, which
-    stand at least three times as densely as all records of the part, those of clusters too, stand in the shell around it, by more than chance.
+    cut at a core's border, each place by itself. A crowd is new if it has ``least`` records of no cluster, which stand at least three times as
+    densely as all records of the part, those of clusters too, stand in the shell around it, by more than chance; of places that come to lie in
+    one crowd the most striking one counts.
     Where clusters hold most of the records within reach there is none, so the thin tails around a large cluster are no crowd.
     """
     if not axes:
@@ -538,19 +562,27 @@ def _left_over(whole: DataFrame, axes: list[int], shapes: dict[int, dict[int, tu
             start = lambda w: np.diag([(0.6 * w) ** 2 if i in axes else 0.25 for i in range(dims)])
             new[p] = {k: (0, x, start(w)) for k, (w, x) in enumerate(places)}
         for _ in range(5):
-            got = _sums(left, _membership(new, core), dims, list(new)) if new else {}
-            fresh = {p: {k: v for k, v in g.items() if v[0] >= 0.6 * s.least} for p, g in got.items()}
-            new = {p: {k: (n, m, c / shrunk) for k, v in _merged(g, s.apart).items() for n, m, c in [_shape(v, dims)]} for p, g in fresh.items() if g}
+            got = _summed(left, _near(new, core), dims, list(new)) if new else {}
+            new = {p: {k: (n, m, c / shrunk) for k, v in g.items() if v[0] >= 0.6 * s.least for n, m, c in [_shape(v, dims)]} for p, g in got.items()}
         left.unpersist()
-        rings = _rings(whole, new, taken, (core, s.reach, shell)) if new else {}
+        rings = _rings(whole, new, taken, (core, s.reach, shell)) if any(new.values()) else {}
         searched = []
         for p, g in new.items():
+            found = []
             for k, (_, mean, cov) in sorted(g.items()):
                 inner, within, held, ring = rings.get((p, k), (0, 0, 0, 0))
                 usual = ring / around
-                if within >= max(s.least, held) and inner > 3 * usual * core ** (dims / 2) and _chance(within, usual * s.reach ** (dims / 2)) < 1e-6:
-                    shapes[p][max(shapes[p], default=-1) + 1] = (within, mean, cov)
-                    searched = sorted({*searched, p})
+                chance = _chance(within, usual * s.reach ** (dims / 2))
+                if within >= max(s.least, held) and inner > 3 * usual * core ** (dims / 2) and chance < 1e-6:
+                    found.append((chance, -within, k, mean, cov))
+            kept: list[tuple] = []
+            for _, n, _, mean, cov in sorted(found, key=lambda x: x[:3]):
+                gap = [d @ np.linalg.solve(cov + c + np.eye(dims) * 1e-9, d) for _, m, c in kept for d in [mean - m]]
+                if min(gap, default=s.apart) >= s.apart:
+                    kept.append((-n, mean, cov))
+            for shape in kept:
+                shapes[p][max(shapes[p], default=-1) + 1] = shape
+                searched = sorted({*searched, p})
     return shapes
 
 
