@@ -55,3 +55,14 @@ def test_bundles_do_not_show_and_a_hot_key_is_whole(spark):
 def test_negative_times(spark):
     rows = [(1, 1, -30, -20), (1, 1, -20, -5), (1, 1, -3, 4)]
     assert run(spark, rows, bundle=7) == brute(rows)
+
+
+def test_bounds_as_far_as_numbers_go(spark):
+    far = 2**63 - 1
+    rows = [(1, 1, -far, -far + 5), (1, 1, 4, far), (1, 1, 7, 9), (2, 1, -far, far), (2, 1, far, far), (3, 1, far - 2, far - 1), (3, 1, far, far)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_one_interval_covers_many_bundles(spark):
+    rows = [(1, 1, 0, 5000)] + [(1, 1, k * 100 + 50, k * 100 + 60) for k in range(48)] + [(1, 1, 4990, 5020), (1, 1, 5021, 5030), (1, 1, 9000, 9001)]
+    assert run(spark, rows, bundle=100) == brute(rows)
