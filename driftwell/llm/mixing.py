@@ -10,8 +10,8 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles, StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,25 +30,27 @@ def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 @lru_cache(maxsize=4)
-def _encoding(path: str):
+def _encoding(path: str, pattern: str):
     import tiktoken
 
-    try:
-        from public_tokenizers import PATTERN as own
-    except ImportError:
-        own = PATTERN
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=own, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_count(text: Column, path: str | None = None) -> Column:
-    """Tokens of a whole text in the tokenizer of a vocabulary file; 0 for a null or empty text."""
-    where = path or tokenizer_file()
+    """Tokens of a whole text in the tokenizer of a vocabulary file, which goes to the executors with the job; 0 for a null or empty text."""
+    where = os.path.realpath(path or tokenizer_file())
+    try:
+        from public_tokenizers import PATTERN as pattern
+    except ImportError:
+        pattern = PATTERN
+    SparkSession.active().sparkContext.addFile(where)
+    name = os.path.basename(where)
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
-        encoding = _encoding(where)
+        encoding = _encoding(SparkFiles.get(name), pattern)
         return texts.map(lambda t: len(encoding.encode_ordinary(t)) if t else 0).astype("int64")
 
     return count(text)
@@ -106,11 +108,12 @@ def _counted(documents: DataFrame, targets: DataFrame, doc_id: str, source: str,
     live = [s for s, (t, most) in wanted.items() if t > 0 and most > 0]
     d = documents.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("__id"), source_name(F.col(source)).alias("__source"), F.col(text).alias("__text"))
     d = d.where(F.col("__source").isin(live)) if live else d.where(F.lit(False))
-    # Copies of a text within a source count once, so that no text comes more often than the source's most repeats.
-    ones = d.groupBy("__source", F.md5("__text").alias("__md5")).agg(F.min("__id").alias("__id"), F.first("__text").alias("__text"))
+    # Counted and weighed where they are read: texts are never shuffled. Copies of a text within a source count once, so that no text
+    # comes more often than the source's most repeats.
+    d = d.select("__id", "__source", F.md5("__text").alias("__md5"), token_count(F.col("__text"), path).alias("__n"), text_quality(F.col("__text")).alias("__q"))
+    ones = d.groupBy("__source", "__md5").agg(F.min("__id").alias("__id"), F.max("__n").alias("__n"), F.max("__q").alias("__q"))
     u = (F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    key = -F.log(u) / text_quality(F.col("__text"))
-    rows = ones.select("__id", "__source", token_count(F.col("__text"), path).alias("__n"), key.alias("__key"))
+    rows = ones.select("__id", "__source", "__n", (-F.log(u) / F.col("__q")).alias("__key"))
     return rows.where("__n > 0").withColumn("__slice", F.floor(F.col("__key") / (1 + F.col("__key")) * SLICES).cast("int")).persist(StorageLevel.MEMORY_AND_DISK), wanted
 
 

@@ -37,7 +37,7 @@ NAMES = [
 MIXED = re.compile(r"[a-z][0-9]+[a-z]|^[0-9]+[a-z]{2,}|[a-z]{3,}[0-9]$|[a-z][0-9]+[a-z]*[0-9]")
 BREAKS = re.compile(r"</(?:li|p|div|tr|td|ul|ol|h\d)>|<br\s*/?>|<li\b[^<>]*>", re.I)
 
-#: What is known of a word: 0 a number, else bits: 1 always, 2 small, 4 a single letter, 8 letters and digits mixed. Forgotten when full.
+#: What is known of a word of letters: 0 a number, else bits: 1 always, 2 small, 4 a single letter, 8 letters and digits mixed. Forgotten when full.
 _KINDS: dict[str, int] = {}
 
 
@@ -45,7 +45,8 @@ def _kind(word: str) -> int:
     k = _KINDS.get(word)
     if k is None:
         k = 0 if NUMBER.fullmatch(word) else 1 | 2 * (word in SMALL) | 4 * (len(word) == 1 and word.isalpha()) | 8 * bool(MIXED.search(word))
-        _KINDS[word] = k
+        if word.isalpha():  # numbers and codes hardly come again and would fill the store
+            _KINDS[word] = k
     return k
 
 

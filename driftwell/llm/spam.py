@@ -16,8 +16,8 @@ from driftwell.llm.pages import NAMES, features
 
 #: Labelled pages that the trees learn from, at most, of each class: those with the smallest hashes of their ids.
 LEARN = 10_000
-TREES = 30
-DEPTH = 6
+TREES = 60
+DEPTH = 8
 
 
 def page_features(pages: DataFrame, page_id: str, text: str, host: str) -> DataFrame:
@@ -33,31 +33,33 @@ def page_features(pages: DataFrame, page_id: str, text: str, host: str) -> DataF
 
 
 def weak_label(x: Column) -> Column:
-    """1 for pages that plain rules are sure to be spam, 0 for pages that they are sure not to be, null between. The trees learn from these."""
+    """1 for pages of the plainest spam, 0 for the plainest pages that are none, null for all others, which the trees decide by what these teach.
+
+    Each rule is a label of one kind of page at its extreme: a page that is next to all links, offers or hashtags, few words over and over,
+    spaced or leetspeak words, or one long row of repeated words; and prose, tables of numbers, code, and listings of channels.
+    """
     f = {n: x[i] for i, n in enumerate(NAMES)}
-    words = F.exp(f["log_words"]) - 1
-    enough = (words >= 15) & (f["prose"] < 0.2) & (f["code"] < 0.1)
-    stuffed = (f["top_words"] > 0.4) & (f["numbers"] < 0.1) & (f["small_words"] < 0.08) & (f["identifiers"] < 0.02)
-    disguised = (f["single_letters"] + f["mixed_digits"]) > 0.4
-    spam = enough & ((f["lines_of_links"] > 0.6) | (f["link_chars"] > 0.7) | (f["offers"] > 0.7) | (f["hashtags"] > 0.4) | ((f["listed"] > 0.7) & (f["identifiers"] < 0.02)) | stuffed | disguised)
-    text = (f["prose"] > 0.75) & (f["lines_of_links"] < 0.15) & (f["offers"] < 0.15)
-    table = (f["numbers"] > 0.4) & (f["offers"] < 0.25) & (f["lines_of_links"] < 0.1) & (f["listed"] < 0.2)
-    channels = (f["identifiers"] > 0.06) & (f["numbers"] > 0.2) & (f["offers"] < 0.35)
-    code = (f["code"] > 0.25) & (f["offers"] < 0.15)
-    return F.when(spam, 1.0).when(text | table | channels | code, 0.0)
+    enough = F.exp(f["log_words"]) - 1 >= 15
+    few = (f["top_words"] > 0.7) & (f["small_words"] < 0.01) & (f["numbers"] < 0.03) & (f["identifiers"] < 0.01)
+    disguised = (f["single_letters"] > 0.6) | (f["mixed_digits"] > 0.5)
+    nothing_else = (f["prose"] < 0.02) & ((f["link_chars"] > 0.9) | (f["lines_of_links"] > 0.98) | (f["offers"] > 0.97) | (f["hashtags"] > 0.8) | few | disguised)
+    row = (f["words_a_segment"] > 60) & (f["repeated"] > 0.8) & (f["numbers"] < 0.03) & (f["identifiers"] < 0.02)
+    channels = (f["identifiers"] > 0.06) & (f["numbers"] > 0.25) & (f["offers"] < 0.05)
+    none = (f["prose"] > 0.95) | ((f["numbers"] > 0.7) & (f["offers"] < 0.05)) | (f["code"] > 0.6) | channels
+    return F.when(none, 0.0).when(enough & (nothing_else | row), 1.0)
 
 
 def spam_pages(pages: DataFrame, *, page_id: str, text: str, host: str, weight: float = 0.25, prior: float = 20.0, seed: int = 11) -> DataFrame:
     """page_id, content, host_rate, score: how likely each page is keywords, links or tags in the main.
 
-    ``content`` is the vote of bagged decision trees on content and link features. The trees learn from pages that plain rules label, at
-    most LEARN of each class, drawn by hash from all pages; everything else is computed over all pages. ``host_rate`` is the rate of spam
+    ``content`` is the vote of bagged decision trees on content and link features. The trees learn from the plainest pages of each
+    class, which weak labels name, at most LEARN of each class, drawn by hash from all pages; everything else is computed over all pages. ``host_rate`` is the rate of spam
     among the other pages of the host, drawn towards the rate of all pages as if by ``prior`` pages. ``score`` moves the odds of the vote by
     ``weight`` times the host's log-odds against those of all pages: it decides between close votes and leaves clear ones.
 
     Defined cases: a null or empty text, or one without words, has score 0; a null host has no rate of its own and is not smoothed; copies
-    score alike but for their hosts; an empty input, or one where the rules find no page of one class, gives the rules' own verdicts (0 or 1, 0 where
-    they are not sure); repeated ids are scored each; other columns are ignored.
+    score alike but for their hosts; an empty input, or one where the labels name no page of one class, gives the labels themselves (0 or 1, 0 where
+    there is none); repeated ids are scored each; other columns are ignored.
     """
     f = page_features(pages, page_id, text, host).persist(StorageLevel.MEMORY_AND_DISK)
     f.count()  # made once, before two stages ask for them at the same time
@@ -69,7 +71,7 @@ def spam_pages(pages: DataFrame, *, page_id: str, text: str, host: str, weight:
     if len(counts) < 2:
         voted = known.select("page_id", "host", F.coalesce(weak_label(F.col("x")), F.lit(0.0)).alias("content"))
     else:
-        trees = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", subsamplingRate=0.8, minInstancesPerNode=5, seed=seed).fit(learn)
+        trees = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", subsamplingRate=0.8, minInstancesPerNode=3, seed=seed).fit(learn)
         voted = trees.transform(known.select("page_id", "host", array_to_vector("x").alias("features"))).select("page_id", "host", vector_to_array("probability")[1].alias("content"))
     learn.unpersist()
     hosts = voted.where("host is not null").groupBy("host").agg(F.sum("content").alias("s"), F.count("*").alias("n"))
