@@ -384,8 +384,10 @@ def _labelled(whole: DataFrame, axes: list[int], dims: int, counts: dict[int, in
         shapes = _left_over(whole, axes, shapes, dims, s)
         if sum(map(len, shapes.values())) == before:
             break
+    shrunk = _below(s.reach, dims + 2) / _below(s.reach, dims)  # what cutting at ``reach`` takes from a crowd's spreads
+    whole_spread = lambda g: {k: (n, m, c / shrunk) for k, (n, m, c) in big(g).items()}
     for _ in range(s.passes):
-        moved = {p: big(g) for p, g in _sums(whole, _membership(shapes, s.reach, plain=True), dims, parts).items()}
+        moved = {p: whole_spread(g) for p, g in _sums(whole, _membership(shapes, s.reach, plain=True), dims, parts).items()}
         far = max((float(np.abs(m - shapes[p][k][1]).max()) for p, g in moved.items() for k, (_, m, _) in g.items()), default=0.0)
         same, shapes = all(moved[p].keys() == shapes[p].keys() for p in parts), moved
         if same and far < 1e-3:
@@ -517,6 +519,11 @@ def _peaks(left: DataFrame, axes: list[int], dims: int, s: Settings) -> dict[int
     return out
 
 
+def _ball(dims: int) -> float:
+    """Volume of the unit ball."""
+    return float(np.pi ** (dims / 2) / np.exp(lgamma(dims / 2 + 1)))
+
+
 def _below(c: float, dims: int) -> float:
     """The part of a normal crowd of so many dimensions whose squared distance is at most c."""
     t = term = np.exp(dims / 2 * np.log(c / 2) - c / 2 - lgamma(dims / 2 + 1))
@@ -536,7 +543,8 @@ def _left_over(whole: DataFrame, axes: list[int], shapes: dict[int, dict[int, tu
 
     A round looks at the places where such records are densest. Mean and spreads are taken over the records near each, freed of the
     cut at a core's border, each place by itself. A crowd is new if it has ``least`` records of no cluster, which stand at least three times as
-    densely as all records of the part, those of clusters too, stand in the shell around it, by more than chance; of places that come to lie in
+    densely as all records of the part, those of clusters too, stand in the shell around it, by more than chance, and as densely as records of
+    no cluster stand on the whole, so that the scatter itself is no crowd; of places that come to lie in
     one crowd the most striking one counts.
     Where clusters hold most of the records within reach there is none, so the thin tails around a large cluster are no crowd.
     """
@@ -564,6 +572,9 @@ def _left_over(whole: DataFrame, axes: list[int], shapes: dict[int, dict[int, tu
         for _ in range(5):
             got = _summed(left, _near(new, core), dims, list(new)) if new else {}
             new = {p: {k: (n, m, c / shrunk) for k, v in g.items() if v[0] >= 0.6 * s.least for n, m, c in [_shape(v, dims)]} for p, g in got.items()}
+        # How densely such records stand in all: over their own range or that of all records, whichever is wider.
+        ends = [F.percentile_approx(c, [0.01, 0.99], 1000).alias(c) for c in cols]
+        scattered = {r["__part"]: r["n"] / max(1.0, float(np.prod([b - a for a, b in (r[cols[i]] for i in axes)]))) for r in left.groupBy("__part").agg(F.count("*").alias("n"), *ends).collect()} if len(axes) == dims and any(new.values()) else {}
         left.unpersist()
         rings = _rings(whole, new, taken, (core, s.reach, shell)) if any(new.values()) else {}
         searched = []
@@ -573,7 +584,8 @@ def _left_over(whole: DataFrame, axes: list[int], shapes: dict[int, dict[int, tu
                 inner, within, held, ring = rings.get((p, k), (0, 0, 0, 0))
                 usual = ring / around
                 chance = _chance(within, usual * s.reach ** (dims / 2))
-                if within >= max(s.least, held) and inner > 3 * usual * core ** (dims / 2) and chance < 1e-6:
+                even = scattered.get(p, 0.0) * _ball(dims) * np.sqrt(max(np.linalg.det(cov), 0.0))
+                if within >= max(s.least, held) and inner > 3 * max(usual, even) * core ** (dims / 2) and chance < 1e-6:
                     found.append((chance, -within, k, mean, cov))
             kept: list[tuple] = []
             for _, n, _, mean, cov in sorted(found, key=lambda x: x[:3]):
