@@ -65,9 +65,9 @@ def restore_sine(x: np.ndarray, dt: float, freq: float, *, passes: int = 6, clip
 
 
 def longest_low(t: np.ndarray, x: np.ndarray, *, least: float = 0.1) -> tuple[float, float, float] | None:
-    """(start, end, fraction) of a pulse: the lowest fraction 1 / div of the peak above which there is one unbroken run, longer than ``least`` of the samples."""
+    """(start, end, fraction) of a pulse: the lowest fraction 1 / div of the peak, from 1 / 100 to 1 / 2, above which there is one unbroken run, longer than ``least`` of the samples."""
     peak = float(np.nanmax(x)) if len(x) else 0.0
-    for div in (20, 15, 10, 7, 5, 4, 3, 2):
+    for div in range(100, 1, -1):
         on = np.r_[False, x > peak / div, False]
         up, down = np.flatnonzero(on[1:] & ~on[:-1]), np.flatnonzero(~on[1:] & on[:-1])
         long = [(a, b) for a, b in zip(up, down, strict=True) if b - a > least * len(x)]

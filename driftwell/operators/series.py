@@ -138,6 +138,22 @@ def remove_baseline(samples: DataFrame, keys: Sequence[str], *, ends: float, tim
     return rows.withColumn(value, v - (F.col("__v0") + slope * (t - F.col("__t0")))).drop("__a", "__b", "__t0", "__t1", "__v0", "__v1")
 
 
+def remove_level(samples: DataFrame, keys: Sequence[str], *, t0: float, t1: float, time: str = "timebase", value: str = "signal") -> DataFrame:
+    """Minus the mean over t0 <= time <= t1; null where there is no sample in it."""
+    inside = (F.col(time) >= t0) & (F.col(time) <= t1)
+    return samples.withColumn(value, F.col(value) - F.avg(F.when(inside, F.col(value))).over(Window.partitionBy(*keys)))
+
+
+def remove_tilt(samples: DataFrame, keys: Sequence[str], *, first: tuple[float, float], last: tuple[float, float], time: str = "timebase", value: str = "signal") -> DataFrame:
+    """Minus the straight line through the mean points of two stretches of time (closed at both ends); null where one of them has no sample."""
+    whole = Window.partitionBy(*keys)
+    t, v = F.col(time), F.col(value)
+    mean = lambda c, span: F.avg(F.when((t >= span[0]) & (t <= span[1]) & v.isNotNull(), c)).over(whole)
+    rows = samples.withColumns({"__t0": mean(t, first), "__t1": mean(t, last), "__v0": mean(v, first), "__v1": mean(v, last)})
+    line = F.col("__v0") + (F.col("__v1") - F.col("__v0")) / F.nullif(F.col("__t1") - F.col("__t0"), F.lit(0.0)) * (t - F.col("__t0"))
+    return rows.withColumn(value, v - line).drop("__t0", "__t1", "__v0", "__v1")
+
+
 def smooth(samples: DataFrame, keys: Sequence[str], order: str, n: int, *, value: str = "signal", mode: str = "valid", times: int = 1) -> DataFrame:
     """Top-hat mean of n samples, ``times`` times. 'valid': only full windows; 'causal': of the last n; 'keep': all samples, cut windows at the ends."""
     lo, hi = (-(n - 1), 0) if mode == "causal" else (-((n - 1) // 2), n // 2)
@@ -163,6 +179,14 @@ def derivative(samples: DataFrame, keys: Sequence[str], *, time: str = "timebase
     return samples.select(*keys, (F.col(time) + dt / 2).alias("t_mid"), F.when(dt != 0, (F.lead(value).over(w) - F.col(value)) / dt).alias("ddt")).where("t_mid is not null")
 
 
+def second_derivative(samples: DataFrame, keys: Sequence[str], *, time: str = "timebase", value: str = "signal", factor: float = 4e-6) -> DataFrame:
+    """t_mid and ddt2 = factor * value * |slope|, with the slope between each sample and the next over the mean step of the stretch."""
+    w, whole = over(keys, time), Window.partitionBy(*keys)
+    step = (F.max(time).over(whole) - F.min(time).over(whole)) / F.nullif(F.count("*").over(whole) - 1, F.lit(0))
+    slope = (F.lead(value).over(w) - F.col(value)) / F.nullif(step, F.lit(0.0))
+    return samples.select(*keys, ((F.col(time) + F.lead(time).over(w)) / 2).alias("t_mid"), (F.lit(factor) * F.col(value) * F.abs(slope)).alias("ddt2")).where("t_mid is not null")
+
+
 def unwrap(samples: DataFrame, keys: Sequence[str], order: str, *, phase: str) -> DataFrame:
     """Phases without jumps of more than pi: 2 pi is added after a fall of more than pi and taken away after such a rise."""
     d = F.col(phase) - F.lag(phase).over(over(keys, order))
@@ -230,12 +254,16 @@ def trapezoid(samples: DataFrame, keys: Sequence[str], *, x: str, y: str) -> Dat
     return good.select(*keys, part.alias("__p")).groupBy(*keys).agg(F.coalesce(F.sum("__p"), F.lit(0.0)).alias("integral"))
 
 
-def pulse_times(samples: DataFrame, keys: Sequence[str], *, time: str = "timebase", value: str = "signal", n: int = 8, threshold: float = 0.5) -> DataFrame:
-    """t_start, t_end: first and last time at which the smoothed power of the quickly changing part exceeds ``threshold`` of its mean."""
+def pulse_times(samples: DataFrame, keys: Sequence[str], *, time: str = "timebase", value: str = "signal", n: int = 8, threshold: float = 0.5, part: float = 0.7) -> DataFrame:
+    """t_start, t_end: first and last time about which the signal is on: its rms without the slow part, over n samples, exceeds ``threshold`` of
+    its mean power in more than ``part`` of the 2 * n samples around.
+    """
     w = over(keys, time).rowsBetween(-((n - 1) // 2), n // 2)
     rows = samples.where(F.col(value).isNotNull()).withColumn("__f", F.col(value) - F.avg(value).over(w)).withColumn("__p", F.avg(F.col("__f") * F.col("__f")).over(w))
     rows = rows.withColumn("__m", F.avg("__p").over(Window.partitionBy(*keys)))
-    return rows.where(F.col("__p") > threshold * F.col("__m")).groupBy(*keys).agg(F.min(time).alias("t_start"), F.max(time).alias("t_end"), F.count("*").alias("n_on"))
+    twice = over(keys, time).rowsBetween(-n, n - 1)
+    rows = rows.withColumn("__on", F.avg(F.when(F.col("__p") > threshold * F.col("__m"), 1.0).otherwise(0.0)).over(twice))
+    return rows.where(F.col("__on") > part).groupBy(*keys).agg(F.min(time).alias("t_start"), F.max(time).alias("t_end"), F.count("*").alias("n_on"))
 
 
 def flat_top(samples: DataFrame, keys: Sequence[str], *, time: str = "timebase", value: str = "signal", fraction: float = 0.9) -> DataFrame:

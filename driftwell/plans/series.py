@@ -102,6 +102,19 @@ def derivative(spark: SparkSession, folder: str) -> DataFrame:
     return S.derivative(known(spark, folder), KEYS).select("series_id", "t_mid", f32("ddt"))
 
 
+def remove_level(spark: SparkSession, folder: str) -> DataFrame:
+    return S.remove_level(known(spark, folder), KEYS, t0=-0.5, t1=0.25).select("sample_id", f32("signal"))
+
+
+def remove_tilt(spark: SparkSession, folder: str) -> DataFrame:
+    rows = S.remove_tilt(known(spark, folder), KEYS, first=(-0.5, 0.1), last=(0.3, 0.6))
+    return rows.groupBy("series_id").agg(F.count("signal").alias("n"), (F.round(F.max("signal"), 3) + 0.0).alias("highest"))
+
+
+def second_derivative(spark: SparkSession, folder: str) -> DataFrame:
+    return S.second_derivative(known(spark, folder), KEYS).select("series_id", "t_mid", f32("ddt2"))
+
+
 def unwrap(spark: SparkSession, folder: str) -> DataFrame:
     f = table(spark, folder, "features").where("fs_time is not null").select("indx", "shot", "campaign", "fs_time", F.get("phases", F.lit(0)).cast("double").alias("phase")).where("phase is not null")
     f = f.withColumn("at", F.struct("fs_time", "indx"))
@@ -161,7 +174,7 @@ def gated_means(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f"ts_{f.__name__}": f for f in (
     calibrated, reduce_time, reduce_to_nice, downsample, decimate, segments, segment_arrays, contiguous, subtract_mean, normalise, integrate, remove_baseline, smooth, smooth_twice,
-    cross_correl, derivative, unwrap, peaks, fold, shift, delta_decode, regular_times, step_counts, crossings, trapezoid, pulse_times, flat_top, gated_means,
+    cross_correl, derivative, remove_level, remove_tilt, second_derivative, unwrap, peaks, fold, shift, delta_decode, regular_times, step_counts, crossings, trapezoid, pulse_times, flat_top, gated_means,
 )}
 
 _C = """WITH c AS (SELECT DISTINCT sample_id, series_id, shot, channel, i, timebase,
@@ -233,8 +246,16 @@ SQL = {
         e AS (SELECT *, CASE WHEN o AND NOT coalesce(lag(o) OVER ({_W}), FALSE) THEN 1 ELSE 0 END e FROM h), g AS (SELECT *, CAST(sum(e) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) island FROM e)
         SELECT series_id, island, CAST(avg(timebase) AS FLOAT) t_mean, CAST(avg(signal) AS FLOAT) signal_mean, count(*) n FROM g WHERE o GROUP BY series_id, island""",
     "ts_pulse_times": f"""{_C}, a AS (SELECT *, signal - avg(signal) OVER w f FROM k WINDOW w AS ({_W} ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING)),
-        b AS (SELECT *, avg(f * f) OVER w p FROM a WINDOW w AS ({_W} ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING)), m AS (SELECT *, avg(p) OVER (PARTITION BY series_id) m FROM b)
-        SELECT series_id, min(timebase) t_start, max(timebase) t_end, count(*) n_on FROM m WHERE p > 0.5 * m GROUP BY ALL""",
+        b AS (SELECT *, avg(f * f) OVER w p FROM a WINDOW w AS ({_W} ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING)), m AS (SELECT *, avg(p) OVER (PARTITION BY series_id) m FROM b),
+        o AS (SELECT *, avg(CASE WHEN p > 0.5 * m THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER ({_W} ROWS BETWEEN 8 PRECEDING AND 7 FOLLOWING) o FROM m)
+        SELECT series_id, min(timebase) t_start, max(timebase) t_end, count(*) n_on FROM o WHERE o > 0.7::DOUBLE GROUP BY ALL""",
+    "ts_remove_level": f"{_C} SELECT sample_id, CAST(signal - avg(CASE WHEN timebase BETWEEN -0.5 AND 0.25 THEN signal END) OVER (PARTITION BY series_id) AS FLOAT) AS signal FROM k",
+    "ts_remove_tilt": f"""{_C}, n AS (SELECT *, avg(CASE WHEN timebase BETWEEN -0.5 AND 0.1 THEN timebase END) OVER p t0, avg(CASE WHEN timebase BETWEEN 0.3 AND 0.6 THEN timebase END) OVER p t1,
+        avg(CASE WHEN timebase BETWEEN -0.5 AND 0.1 THEN signal END) OVER p v0, avg(CASE WHEN timebase BETWEEN 0.3 AND 0.6 THEN signal END) OVER p v1 FROM k WINDOW p AS (PARTITION BY series_id))
+        SELECT series_id, count(x) n, round(max(x), 3) + 0.0 AS highest FROM (SELECT series_id, signal - (v0 + (v1 - v0) / nullif(t1 - t0, 0) * (timebase - t0)) x FROM n) GROUP BY ALL""",
+    "ts_second_derivative": f"""{_C}, n AS (SELECT *, (max(timebase) OVER p - min(timebase) OVER p) / nullif(count(*) OVER p - 1, 0) st FROM k WINDOW p AS (PARTITION BY series_id)),
+        d AS (SELECT *, (timebase + lead(timebase) OVER ({_W})) / 2 t_mid, lead(signal) OVER ({_W}) - signal dv FROM n)
+        SELECT series_id, t_mid, CAST(4e-6::DOUBLE * signal * abs(dv / nullif(st, 0)) AS FLOAT) AS ddt2 FROM d WHERE t_mid IS NOT NULL""",
     "ts_flat_top": f"""{_C}, t AS (SELECT series_id, quantile_cont(abs(signal), 0.95) top FROM c GROUP BY ALL), o AS (SELECT k.*, abs(signal) >= 0.9 * top AS o FROM k JOIN t USING (series_id)),
         g AS (SELECT *, sum(CASE WHEN o THEN 0 ELSE 1 END) OVER ({_W} ROWS UNBOUNDED PRECEDING) g FROM o),
         r AS (SELECT series_id, g, min(timebase) t_from, max(timebase) t_to, count(*) n FROM g WHERE o GROUP BY series_id, g)

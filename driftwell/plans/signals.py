@@ -17,27 +17,33 @@ N = 64
 
 
 def by_channel(spark: SparkSession, folder: str) -> DataFrame:
-    """Full segments of N samples of each series, one row each: series_id, seg_id, t0, dt, signal."""
+    """Segments of N samples of each series, the last ones short, one row each: series_id, seg_id, t0, dt, signal. Those of fewer than four samples have no spectrum."""
     rows = S.segment(known(spark, folder), ["series_id"], "timebase", N)
-    return S.segment_arrays(rows, ["series_id"]).where(F.col("n") == N)
+    return S.segment_arrays(rows, ["series_id"]).where((F.col("n") >= 4) & (F.col("dt") > 0))
 
 
 def by_shot(spark: SparkSession, folder: str) -> DataFrame:
     """Segments of all channels of a shot, aligned by sample number."""
     rows = S.segment(known(spark, folder), ["series_id"], "timebase", N)
-    full = rows.withColumn("__n", F.count("*").over(S.Window.partitionBy("series_id", "seg_id"))).where(F.col("__n") == N)
+    # Channels are of one length in a segment; the short last windows of channels go together where they are equally long.
+    sized = rows.withColumn("length", F.count("*").over(S.Window.partitionBy("series_id", "seg_id")))
     # A channel recorded twice in a shot is two channels.
-    named = full.withColumn("channel", F.concat_ws("/", "channel", "series_id"))
-    return S.segment_arrays(named, ["shot"], channel="channel")
+    named = sized.withColumn("channel", F.concat_ws("/", "channel", "series_id"))
+    return S.segment_arrays(named, ["shot", "length"], channel="channel")
 
 
 def structures(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: readings to segments to fluctuation structures."""
-    return X.fluctuation_structures(by_shot(spark, folder), keys=["shot"], max_energy=0.99)
+    return X.fluctuation_structures(by_shot(spark, folder), keys=["shot", "length"], max_energy=0.99)
+
+
+def stft_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The eight most peaked components of each segment of a shot, with their phases."""
+    return X.spectral_features(by_shot(spark, folder), keys=["shot", "length"], n_points=8, lower=5.0)
 
 
 def good_structures(spark: SparkSession, folder: str) -> DataFrame:
-    found = X.fluctuation_structures(by_shot(spark, folder), keys=["shot"], how="threshold", max_energy=0.99).withColumn("svs", F.size("svs"))
+    found = X.fluctuation_structures(by_shot(spark, folder), keys=["shot", "length"], how="threshold", max_energy=0.99).withColumn("svs", F.size("svs"))
     return M.quality(found, max_h=0.97, min_p=0.1, min_svs=1)
 
 
@@ -88,7 +94,7 @@ def damping(spark: SparkSession, folder: str) -> DataFrame:
     d, w = np.linspace(0.0, 0.2, 5), np.linspace(0.05, 3.1, 62)
 
     def best(v: np.ndarray) -> np.ndarray:
-        p = spectra.damped_music(v - v.mean(), 4, 24, d, w)
+        p = spectra.damped_music(v - v.mean(), min(4, len(v) // 4), min(24, len(v) // 2), d, w)
         i, j = np.unravel_index(int(p.argmax()), p.shape)
         return np.array([d[i], w[j]])
 
@@ -119,5 +125,5 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("series_id", "seg_id", F.get("x", F.lit(0)).alias("error"), F.slice("x", 2, 6).alias("coefficients")).where("error < 9")
 
 
-QUERIES = {f"sig_{f.__name__}": f for f in (structures, good_structures, bandpass, butterworth, channel_rms, spectrogram, spectral_peaks, phase, coherence, damping, pulses, profiles)}
+QUERIES = {f"sig_{f.__name__}": f for f in (structures, good_structures, stft_features, bandpass, butterworth, channel_rms, spectrogram, spectral_peaks, phase, coherence, damping, pulses, profiles)}
 SQL: dict[str, str] = {}

@@ -1,10 +1,15 @@
-"""Session helpers: a local session for tests and benches, and lineage cutting that survives lost executors."""
+"""Session helpers: a local session for tests and benches, the package on the executors, and a shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+_SHIPPED: dict[str, bool] = {}
 
 
 def local_session(cores: int | str = "*", app: str = "driftwell", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -25,13 +30,27 @@ def local_session(cores: int | str = "*", app: str = "driftwell", shuffle_partit
     return spark
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """checkpoint() into the folder of spark.checkpoint.dir, so that a lost executor costs no recomputation and no failure.
-
-    A folder of its own is made only where the session names none, as in tests on one machine.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftwell-checkpoint-"))
-    return df.checkpoint(eager)
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that jobs also run where it is not installed."""
+    sc = spark.sparkContext
+    if _SHIPPED.get(sc.applicationId):
+        return
+    _SHIPPED[sc.applicationId] = True
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:  # on the driver only: addPyFile copies it to where executors fetch it
+        archive = Path(folder) / "driftwell_package.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        kept = Path(tempfile.mkdtemp(prefix="driftwell-ship-")) / archive.name
+        kept.write_bytes(archive.read_bytes())
+    sc.addPyFile(str(kept))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables in the folder of spark.checkpoint.dir, which all machines share; one on this machine only where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = given.get() if given.isDefined() else tempfile.mkdtemp(prefix="driftwell-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
