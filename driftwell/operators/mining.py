@@ -16,6 +16,17 @@ def finite(name: str) -> Column:
     return F.nanvl(F.col(name).cast("double"), F.lit(None))
 
 
+def locked_shots(df: DataFrame, shot: str, freq: str, *, below: float, low: float, also: Column, least: int) -> DataFrame:
+    """shot, n, n_low: shots whose modes may have locked: at least ``least`` records under ``low`` among those under ``below`` for which ``also`` holds."""
+    rows = df.where((F.col(freq) < below) & also)
+    return rows.groupBy(shot).agg(F.count("*").alias("n"), F.count_if(F.col(freq) < low).alias("n_low")).where(F.col("n_low") >= least)
+
+
+def counts_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """columns, n: rows of each combination; null is a value."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
 def quality(features: DataFrame, *, max_h: float, min_p: float, min_svs: int) -> DataFrame:
     return features.where((F.col("h") < max_h) & (F.col("p") > min_p) & (F.col("svs") >= min_svs))
 
@@ -35,9 +46,10 @@ def column_info(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int, *, percent: float = 100.0) -> DataFrame:
-    """bin, lower, n over the values whose magnitude is within the given percentile of magnitudes."""
+    """bin, lower, n over the values whose magnitude is within the given percentile of magnitudes, to one part in 100,000 of their number (a mergeable sketch)."""
     v = df.select(finite(column).alias("v")).where("v is not null")
-    v = v.where(F.abs("v") <= v.agg(F.percentile(F.abs("v"), percent / 100.0)).scalar())
+    if percent < 100.0:
+        v = v.where(F.abs("v") <= v.agg(F.percentile_approx(F.abs("v"), percent / 100.0, 100_000)).scalar())
     low, high = v.agg(F.min("v")).scalar(), v.agg(F.max("v")).scalar()
     ends = v.select("v", low.alias("__a"), high.alias("__b"))
     b = F.least(F.floor((F.col("v") - F.col("__a")) / (F.col("__b") - F.col("__a")) * bins), F.lit(bins - 1)).cast("int")

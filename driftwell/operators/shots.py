@@ -94,7 +94,8 @@ def differing_rows(a: DataFrame, b: DataFrame, but: Sequence[str] = ()) -> DataF
 
 def upsert_matched(right: DataFrame, left: DataFrame, matches: DataFrame, *, left_id: str, right_id: str, columns: Sequence[str]) -> DataFrame:
     """right with the columns of its one match on the left, and the left rows without a match added; rows with several are left as they are."""
-    one = matches.where("matches = 1").join(left.select(left_id, *[F.col(c).alias(f"__{c}") for c in columns]), left_id).drop(left_id, "matches").dropDuplicates([right_id])
+    first = matches.where("matches = 1").groupBy(right_id).agg(F.min(left_id).alias(left_id))  # of several the first
+    one = first.join(left.select(left_id, *[F.col(c).alias(f"__{c}") for c in columns]), left_id).drop(left_id)
     changed = right.join(one, right_id, "left").withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
     alone = left.join(matches.where("matches = 0").select(left_id), left_id, "left_semi")
     return changed.unionByName(alone.select(*[F.col(c) for c in left.columns if c in right.columns]), allowMissingColumns=True)

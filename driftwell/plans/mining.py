@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.functions import circular as C
+from driftwell.operators import lookups as L
 from driftwell.operators import mining as M
 from driftwell.sources import table
+from driftwell.sources import text as X
+from driftwell.streaming import pipelines as P
 
 ANGLES = [0.0, math.pi / 4, math.pi / 2, 3 * math.pi / 4]
 MODES = [(n, [round(x, 6) for x in C.ideal_modes([n], ANGLES)[0]], [1.0, 1.0, 0.8, 0.8], 1.5) for n in (-2, -1, 1, 2)]
@@ -107,12 +110,13 @@ def flipped(spark, folder):
 
 
 def locking(spark, folder):
-    low = _f(spark, folder).where("freq < 20 and rms > 0.005 and not isnan(freq) and not isnan(rms)")
-    return low.groupBy("shot").agg(F.count("*").alias("n"), F.sum((F.col("freq") < 15).cast("long")).alias("n_low")).where("n_low > 2")
+    low = _f(spark, folder).where("not isnan(freq) and not isnan(rms)")
+    return M.locked_shots(low, "shot", "freq", below=60.0, low=35.0, also=F.col("rms") > 0.0005, least=3)
 
 
 def contingency(spark, folder):
-    return _f(spark, folder).groupBy("campaign").pivot("svs", [1, 2, 3, 4, 5]).agg(F.count(F.lit(1))).select("campaign", *[F.coalesce(F.col(str(k)), F.lit(0)).alias(f"svs_{k}") for k in range(1, 6)])
+    """Records of each campaign and number of singular values, whatever numbers there are."""
+    return M.counts_by(_f(spark, folder), ["campaign", "svs"])
 
 
 def coverage(spark, folder):
@@ -124,15 +128,21 @@ def trimmed(spark, folder):
     return M.trim_members(_f(spark, folder), "phases", CENTRE, row_id="indx", tolerance=1.2, least=10).select("indx")
 
 
+def _slow(spark, folder):
+    """Every usable reading once; records take those of their own slow channel."""
+    return table(spark, folder, "timeseries").select("sample_id", "shot", "channel", "timebase", "signal").where("timebase is not null and signal is not null and not isnan(signal)").dropDuplicates(["sample_id"])
+
+
 def interpolated(spark, folder):
-    slow = table(spark, folder, "timeseries").select("sample_id", "shot", "channel", "timebase", "signal").where("channel = 'NE_LINE_1' and timebase is not null and signal is not null and not isnan(signal)").dropDuplicates(["sample_id"])
-    f = _f(spark, folder).select("indx", "shot", "fs_time")
-    return M.interpolate_at(f, slow, keys=[("shot", "shot")], left_time="fs_time", right_time="timebase", left_id="indx", value="signal").select("indx", F.col("signal").cast("float").alias("signal"))
+    f = _f(spark, folder).select("indx", "shot", "ref_channel", "fs_time").where("ref_channel is not null")
+    keys = [("shot", "shot"), ("ref_channel", "channel")]
+    return M.interpolate_at(f, _slow(spark, folder), keys=keys, left_time="fs_time", right_time="timebase", left_id="indx", value="signal").select("indx", F.col("signal").cast("float").alias("signal"))
 
 
 def last_before(spark, folder):
-    slow = table(spark, folder, "timeseries").select("sample_id", "shot", "channel", "timebase", "signal").where("channel = 'GAS_VALVE' and timebase is not null and signal is not null and not isnan(signal)").dropDuplicates(["sample_id"])
-    return M.interpolate_at(_f(spark, folder).select("indx", "shot", "fs_time"), slow, keys=[("shot", "shot")], left_time="fs_time", right_time="timebase", left_id="indx", value="signal", step=True)
+    f = _f(spark, folder).select("indx", "shot", "ref_channel", "fs_time").where("ref_channel is not null")
+    keys = [("shot", "shot"), ("ref_channel", "channel")]
+    return M.interpolate_at(f, _slow(spark, folder), keys=keys, left_time="fs_time", right_time="timebase", left_id="indx", value="signal", step=True)
 
 
 def shot_of_time(spark, folder):
@@ -151,19 +161,18 @@ def touching(spark, folder):
 
 def shots_between(spark, folder):
     """Programs from (20040303, 100) on, up to but without (20040308, 20), in order of date and program."""
-    s = F.struct(F.col("shot_date"), F.col("progid"))
-    rows = table(spark, folder, "shot_da").where((s >= F.struct(F.lit(20040303), F.lit(100))) & (s < F.struct(F.lit(20040308), F.lit(20))))
+    rows = L.within(table(spark, folder, "shot_da"), [F.lit(20040303), F.lit(100)], ["shot_date", "progid"], [F.lit(20040308), F.lit(20)])
     return rows.select("shot_date", "progid").distinct()
 
 
 def last_shot(spark, folder):
-    known = table(spark, folder, "timeseries").where("signal is not null and not isnan(signal)")
-    return known.groupBy("channel").agg(F.max("shot").alias("last_shot"), F.countDistinct("shot").alias("n_shots"))
+    return L.last_of(table(spark, folder, "timeseries").where("signal is not null and not isnan(signal)"), ["channel"], "shot")
 
 
 def missing_shots(spark, folder):
-    have = table(spark, folder, "timeseries").select("shot").distinct()
-    return table(spark, folder, "features").select("shot").distinct().join(have, "shot", "left_anti")
+    """Programs of the catalogue without a probe fit."""
+    programs = table(spark, folder, "shot_da").select((F.col("shot_date").cast("long") * 1000 + F.col("progid")).alias("shot"))
+    return L.missing_from(programs, table(spark, folder, "probe_fits"), "shot")
 
 
 def neighbours(spark, folder):
@@ -171,26 +180,23 @@ def neighbours(spark, folder):
 
 
 def parameter_versions(spark, folder):
-    """The newest version of each signal file saved before each later save of the same shot and channel."""
-    s = table(spark, folder, "saved_signals").dropDuplicates(["save_id"])
-    w = Window.partitionBy("shot", "channel").orderBy("saved_at", "save_id").rowsBetween(Window.unboundedPreceding, -1)
-    return s.select("save_id", F.max_by("version", F.struct("saved_at", "save_id")).over(w).alias("earlier_version")).where("earlier_version is not null")
+    """The version of the signal file saved before each later save of the same shot and channel."""
+    return L.versions_before(table(spark, folder, "saved_signals").dropDuplicates(["save_id"]), ["shot", "channel"], when="saved_at", row_id="save_id", version="version")
 
 
 def json_paths(spark, folder):
-    e = table(spark, folder, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    return e.select("event_type", k.alias("k"), F.get_json_object("props", "$.a.b").alias("b")).groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.count("b").alias("n_nested"))
+    e = X.json_fields(table(spark, folder, "events"), "props", {"k": "$.k", "b": "$.a.b"}).withColumn("k", F.col("k").cast("int"))
+    return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.count("b").alias("n_nested"))
 
 
 def tumbling(spark, folder):
-    e = table(spark, folder, "events")
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    w = P.windowed(table(spark, folder, "events"), time="ts", keys=["event_type"], value="value", length="1 hour")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "lowest", "highest")
 
 
 def sessions(spark, folder):
-    e = table(spark, folder, "events")
-    return e.groupBy(F.session_window("ts", "10 minutes").alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
+    s = P.sessions(table(spark, folder, "events"), time="ts", keys=["user_id"], gap="10 minutes")
+    return s.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
 
 QUERIES = {f"fs_{f.__name__}": f for f in (
@@ -212,7 +218,7 @@ def _distance(centre, spread=None) -> str:
 
 _MODE = "CASE " + " ".join(f"WHEN {_distance(c, s)} < {t} THEN {m}" for m, c, s, t in reversed(MODES)) + " END"
 _KNOWN = "fs_time IS NOT NULL AND freq IS NOT NULL AND NOT isnan(fs_time) AND NOT isnan(freq)"
-_SLOW = "r AS (SELECT DISTINCT sample_id, shot, timebase t, signal v FROM timeseries WHERE channel = '{c}' AND timebase IS NOT NULL AND signal IS NOT NULL AND NOT isnan(signal))"
+_SLOW = "r AS (SELECT DISTINCT sample_id, shot, channel, timebase t, signal v FROM timeseries WHERE timebase IS NOT NULL AND signal IS NOT NULL AND NOT isnan(signal))"
 
 SQL = {
     "fs_quality": "SELECT indx FROM features WHERE h::DOUBLE < 0.3 AND p::DOUBLE > 0.5 AND svs >= 2",
@@ -221,7 +227,7 @@ SQL = {
     "fs_value_counts": "SELECT svs AS value, count(*) n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) percent FROM features GROUP BY svs",
     "fs_top_values": "SELECT ref_channel AS value, count(*) n FROM features GROUP BY ALL ORDER BY n DESC, value NULLS FIRST LIMIT 5",
     "fs_column_info": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) n, count(x) n_valid, count(DISTINCT x) n_distinct FROM (SELECT CASE WHEN NOT isnan({c}::DOUBLE) THEN {c}::DOUBLE END x FROM features)" for c in ("freq", "kh", "rms", "fs_time", "p", "svs")),
-    "fs_histogram": """WITH v AS (SELECT freq v FROM features WHERE freq IS NOT NULL AND NOT isnan(freq)), e AS (SELECT quantile_cont(abs(v), 0.97) e FROM v), w AS (SELECT v FROM v, e WHERE abs(v) <= e),
+    "fs_histogram": """WITH v AS (SELECT freq v FROM features WHERE freq IS NOT NULL AND NOT isnan(freq)), e AS (SELECT quantile_disc(abs(v), 0.97) e FROM v), w AS (SELECT v FROM v, e WHERE abs(v) <= e),
         m AS (SELECT min(v) a, max(v) b FROM w) SELECT CAST(least(floor((v - a) / (b - a) * 24), 23) AS INTEGER) bin, count(*) n FROM w, m GROUP BY ALL""",
     "fs_histogram_nd": "WITH c AS (SELECT indx, string_agg(CAST(floor((phases[k]::DOUBLE + pi()) * 6 / (2 * (pi() + 1e-6))) AS INTEGER)::VARCHAR, ',' ORDER BY k) cell FROM (SELECT indx, phases, unnest(range(1, len(phases) + 1)) k FROM features) GROUP BY indx) SELECT cell, count(*) n FROM c GROUP BY cell",
     "fs_circular_stats": """WITH x AS (SELECT campaign, k - 1 AS k, phases[k]::DOUBLE x FROM (SELECT campaign, phases, unnest(range(1, len(phases) + 1)) k FROM features)),
@@ -244,15 +250,15 @@ SQL = {
     "fs_bits": "SELECT indx, CAST(pow(2, svs) - 1 AS BIGINT) mask, svs AS n_bits, svs AS count FROM features",
     "fs_closed_loops": "SELECT indx, round(phases[1]::DOUBLE + 2 * pi(), 5) AS phase FROM features",
     "fs_flipped": "SELECT indx, CASE WHEN NOT isnan(kh) AND kh - 0.5 < 0 THEN -phases[1] ELSE phases[1] END AS first FROM features",
-    "fs_locking": "SELECT shot, count(*) n, CAST(sum(CASE WHEN freq < 15 THEN 1 ELSE 0 END) AS BIGINT) n_low FROM features WHERE freq < 20 AND rms > 0.005 AND NOT isnan(rms) AND NOT isnan(freq) GROUP BY shot HAVING n_low > 2",
-    "fs_contingency": "SELECT campaign, " + ", ".join(f"count(*) FILTER (WHERE svs = {k}) svs_{k}" for k in range(1, 6)) + " FROM features GROUP BY campaign",
+    "fs_locking": "SELECT shot, count(*) n, CAST(sum(CASE WHEN freq < 35 THEN 1 ELSE 0 END) AS BIGINT) n_low FROM features WHERE freq < 60 AND rms > 0.0005 AND NOT isnan(rms) AND NOT isnan(freq) GROUP BY shot HAVING n_low >= 3",
+    "fs_contingency": "SELECT campaign, svs, count(*) n FROM features GROUP BY campaign, svs",
     "fs_coverage": f"WITH m AS (SELECT campaign, {_MODE} mode_id FROM features) SELECT campaign, mode_id, count(*) n, CAST(grouping_id(campaign, mode_id) AS BIGINT) level FROM m GROUP BY ROLLUP (campaign, mode_id)",
     "fs_trimmed": f"WITH d AS (SELECT indx, {_distance(CENTRE)} d FROM features) SELECT indx FROM d WHERE d < 1.2 UNION (SELECT indx FROM d WHERE d IS NOT NULL ORDER BY d, indx LIMIT 10)",
-    "fs_interpolated": f"""WITH {_SLOW.format(c="NE_LINE_1")}, f AS (SELECT indx, shot, fs_time t FROM features WHERE fs_time IS NOT NULL AND NOT isnan(fs_time)),
-        b AS (SELECT f.*, r.t ta, r.v va FROM f ASOF JOIN r ON f.shot = r.shot AND f.t >= r.t), a AS (SELECT b.*, r.t tb, r.v vb FROM b ASOF JOIN r ON b.shot = r.shot AND b.t <= r.t)
+    "fs_interpolated": f"""WITH {_SLOW}, f AS (SELECT indx, shot, ref_channel AS channel, fs_time t FROM features WHERE fs_time IS NOT NULL AND NOT isnan(fs_time)),
+        b AS (SELECT f.*, r.t ta, r.v va FROM f ASOF JOIN r ON f.shot = r.shot AND f.channel = r.channel AND f.t >= r.t), a AS (SELECT b.*, r.t tb, r.v vb FROM b ASOF JOIN r ON b.shot = r.shot AND b.channel = r.channel AND b.t <= r.t)
         SELECT indx, CAST(CASE WHEN ta = tb THEN va ELSE va + (vb - va) * (t - ta) / (tb - ta) END AS FLOAT) AS signal FROM a""",
-    "fs_last_before": f"""WITH {_SLOW.format(c="GAS_VALVE")}, f AS (SELECT indx, shot, fs_time t FROM features WHERE fs_time IS NOT NULL AND NOT isnan(fs_time))
-        SELECT indx, v AS signal FROM f ASOF JOIN r ON f.shot = r.shot AND f.t >= r.t""",
+    "fs_last_before": f"""WITH {_SLOW}, f AS (SELECT indx, shot, ref_channel AS channel, fs_time t FROM features WHERE fs_time IS NOT NULL AND NOT isnan(fs_time))
+        SELECT indx, v AS signal FROM f ASOF JOIN r ON f.shot = r.shot AND f.channel = r.channel AND f.t >= r.t""",
     "fs_shot_of_time": """WITH p AS (SELECT rec_id point, start_utc + (end_utc - start_utc) // 2 a FROM shot_da WHERE end_utc >= start_utc), i AS (SELECT rec_id, start_utc s, end_utc e FROM shot_da WHERE end_utc >= start_utc),
         h AS (SELECT point, count(*) n, min(rec_id) rec_id FROM p JOIN i ON a >= s AND a <= e GROUP BY point) SELECT point, rec_id FROM h WHERE n = 1""",
     "fs_shot_runs": """WITH d AS (SELECT DISTINCT shot_date, progid FROM shot_da WHERE progid IS NOT NULL), g AS (SELECT *, progid - row_number() OVER (PARTITION BY shot_date ORDER BY progid) g FROM d),
@@ -263,12 +269,12 @@ SQL = {
         SELECT shot_date, progid, min(s) start_utc, max(e) end_utc, count(*) n FROM g GROUP BY shot_date, progid, k""",
     "fs_shots_between": "SELECT DISTINCT shot_date, progid FROM shot_da WHERE shot_date::BIGINT * 1000 + progid >= 20040303100 AND shot_date::BIGINT * 1000 + progid < 20040308020",
     "fs_last_shot": "SELECT channel, max(shot) last_shot, count(DISTINCT shot) n_shots FROM timeseries WHERE signal IS NOT NULL AND NOT isnan(signal) GROUP BY channel",
-    "fs_missing_shots": "SELECT DISTINCT shot FROM features WHERE shot NOT IN (SELECT shot FROM timeseries)",
+    "fs_missing_shots": "SELECT DISTINCT shot_date::BIGINT * 1000 + progid AS shot FROM shot_da WHERE shot_date::BIGINT * 1000 + progid NOT IN (SELECT shot FROM probe_fits WHERE shot IS NOT NULL)",
     "fs_neighbours": "WITH i AS (SELECT indx FROM features WHERE svs = 5 AND freq < 30 AND NOT isnan(freq)) SELECT DISTINCT x AS indx FROM (SELECT unnest([indx - 1, indx, indx + 1]) x FROM i), (SELECT min(indx) a, max(indx) b FROM i) WHERE x BETWEEN a AND b",
     "fs_parameter_versions": """WITH s AS (SELECT DISTINCT save_id, shot, channel, version, min(saved_at) OVER (PARTITION BY save_id) saved_at FROM saved_signals),
         v AS (SELECT save_id, lag(version) OVER (PARTITION BY shot, channel ORDER BY saved_at, save_id) earlier_version FROM s) SELECT * FROM v WHERE earlier_version IS NOT NULL""",
     "fs_json_paths": "SELECT event_type, count(k) n, CAST(sum(k) AS BIGINT) total, count(json_extract(props, '$.a.b')) n_nested FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) k FROM events) GROUP BY event_type",
-    "fs_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) n, round(sum(value), 2) total FROM events GROUP BY ALL",
+    "fs_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(value) n, round(avg(value), 6) mean, min(value) lowest, max(value) highest FROM events GROUP BY ALL",
     "fs_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END n FROM events),
         s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) s FROM e) SELECT min(ts) AS start, user_id, count(*) n FROM s GROUP BY user_id, s""",
 }

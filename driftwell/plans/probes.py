@@ -42,10 +42,10 @@ def summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wide_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a shot, a column for each probe: the mean electron temperature of its good fits. Probes are named by the fixed list of columns."""
-    names = [f"LP{i:02d}" for i in range(1, 21)]
-    g = P.good_fits(fits(spark, folder)).groupBy("shot").pivot("channel", names).agg(F.avg("te"))
-    return g.select("shot", *[F.col(n).cast("float").alias(f"te_{n.lower()}") for n in names])
+    """One row a shot with the mean electron temperature of the good fits of each probe, whichever probes there are."""
+    te = F.struct("channel", F.col("te").cast("float").alias("te"))
+    g = P.good_fits(fits(spark, folder)).groupBy("shot", "channel").agg(F.avg("te").alias("te")).groupBy("shot").agg(F.map_from_entries(F.sort_array(F.collect_list(te))).alias("te"))
+    return g.select("shot", F.explode("te").alias("channel", "te"))
 
 
 def calibration(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,7 +135,7 @@ SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY shot, channel ORDER BY abs(v), t) - 1 i, count(*) OVER (PARTITION BY shot, channel) n, lead(t) OVER (PARTITION BY shot, channel ORDER BY t, v) - t d FROM v)
         SELECT shot, channel, count(*) n, max(CASE WHEN i = greatest(0, n - 1 - CAST(floor(0.03::DOUBLE * n + 0.5) AS BIGINT)) THEN abs(v) END) peak, max(abs(v)) raw_peak,
         arg_max(t, (abs(v), -t)) t_peak, arg_max(v, (abs(v), -t)) signed_peak, round(stddev_pop(v), 6) std, round(avg(v), 6) average, CAST(avg(d) * sum(v) AS FLOAT) integral FROM r GROUP BY shot, channel""",
-    "lp_wide_summary": f"{_G} SELECT shot, " + ", ".join(f"CAST(avg(te) FILTER (WHERE channel = 'LP{i:02d}') AS FLOAT) te_lp{i:02d}" for i in range(1, 21)) + " FROM g GROUP BY shot",
+    "lp_wide_summary": f"{_G} SELECT shot, channel, CAST(avg(te) AS FLOAT) te FROM g WHERE channel IS NOT NULL GROUP BY shot, channel",
     "lp_calibration": f"""{_F}, r AS (SELECT shot, channel, i0::DOUBLE x, ne18::DOUBLE y FROM f WHERE i0 IS NOT NULL AND ne18 IS NOT NULL AND NOT isnan(i0) AND NOT isnan(ne18))
         SELECT shot, channel, count(*) n, CAST(regr_slope(y, x) AS FLOAT) slope, CAST(regr_intercept(y, x) AS FLOAT) intercept,
         CAST(sqrt(greatest(0, regr_syy(y, x) - CASE WHEN regr_sxx(y, x) > 0 THEN pow(regr_sxy(y, x), 2) / regr_sxx(y, x) ELSE 0 END) / count(*)) AS FLOAT) residual FROM r GROUP BY ALL""",

@@ -69,19 +69,18 @@ def running_coherence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upserted(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of few singular values with the one match that would change them, and the records without any match, which would be added."""
+    """Records of few singular values, with p of the one record of many that lies near, and the records of many that lie near none."""
     f = table(spark, folder, "features").select("indx", "shot", "fs_time", "freq", "p", "svs")
-    left, right = f.where("svs >= 4"), f.where("svs < 4")
-    m = M.band_join(left, right.withColumnRenamed("indx", "other"), key="shot", time="fs_time", freq="freq", dt=0.002, df=2.0, left_id="indx", right_id="other")
-    one = m.where("matches = 1").groupBy("other").agg(F.min("indx").alias("from_indx"))
-    alone = left.join(m.where("matches = 0"), "indx", "left_semi").select("indx", F.lit(None).cast("long").alias("from_indx"))
-    return right.select("indx").join(one, F.col("indx") == F.col("other"), "left").select("indx", "from_indx").unionByName(alone)
+    left, right = f.where("svs >= 4"), f.where("svs < 4").withColumnRenamed("indx", "other")
+    m = M.band_join(left, right, key="shot", time="fs_time", freq="freq", dt=0.002, df=2.0, left_id="indx", right_id="other")
+    return H.upsert_matched(right, left, m, left_id="indx", right_id="other", columns=["p"]).select("other", "shot", "svs", "p")
 
 
 def same_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the fits that differ from themselves without repeats, by all but the time of writing."""
-    f = table(spark, folder, "probe_fits").select("fit_id", "shot", "channel", "nits", "written_at")
-    return H.differing_rows(f, f.dropDuplicates(["fit_id"]), but=["written_at"])
+    """Rows of the fits that differ from themselves without repeats, by all columns but the time of writing."""
+    f = table(spark, folder, "probe_fits")
+    names = [c for c in f.columns if c != "written_at"]
+    return H.differing_rows(f, f.dropDuplicates(names), but=["written_at"]).select("fit_id", "t_mid", "side", "times")
 
 
 QUERIES = {f"sh_{f.__name__}": f for f in (varied_blocks, first_seen, paths, wildcard, ratios, coordinates, centroids, distances, running_coherence, upserted, same_tables)}
@@ -108,9 +107,10 @@ SQL = {
         SELECT svs, CAST(k AS INTEGER) k, max(n) n, CAST(min(greatest(0, q + 4 * pi() * r + 4 * pi() * pi() * j - pow(s + 2 * pi() * j, 2) / n)) AS FLOAT) AS cost FROM r GROUP BY svs, k""",
     "sh_distances": f"""WITH b AS (SELECT CAST(floor({_DIST} * 10) AS INTEGER) bin, count(*) n FROM features GROUP BY bin), s AS (SELECT *, pow(bin + 0.5, 3) s, bin >= max(bin) OVER () / 2.0 h FROM b WHERE bin IS NOT NULL)
         SELECT bin, n, round(n - s * (sum(CASE WHEN h THEN n * s END) OVER () / sum(CASE WHEN h THEN s * s END) OVER ()), 4) excess FROM s""",
-    "sh_upserted": """WITH l AS (SELECT indx, shot, fs_time t, freq f FROM features WHERE svs >= 4), r AS (SELECT indx other, shot, fs_time t, freq f FROM features WHERE svs < 4),
+    "sh_upserted": """WITH l AS (SELECT indx, shot, fs_time t, freq f, p, svs FROM features WHERE svs >= 4), r AS (SELECT indx other, shot, fs_time t, freq f, p, svs FROM features WHERE svs < 4),
         h AS (SELECT l.indx, count(*) n, min(other) o FROM l JOIN r ON l.shot = r.shot WHERE NOT isnan(l.t) AND NOT isnan(l.f) AND NOT isnan(r.t) AND NOT isnan(r.f) AND abs(l.t - r.t) < 0.002 AND abs(l.f - r.f) < 2 GROUP BY l.indx),
-        m AS (SELECT o, min(indx) from_indx FROM h WHERE n = 1 GROUP BY o)
-        SELECT other AS indx, from_indx FROM r LEFT JOIN m ON o = other UNION ALL SELECT indx, NULL FROM l WHERE indx NOT IN (SELECT indx FROM h)""",
-    "sh_same_tables": """WITH f AS (SELECT fit_id, shot, channel, nits, row_number() OVER (PARTITION BY fit_id) r FROM probe_fits) SELECT fit_id, shot, channel, nits, 'a' AS side, count(*) times FROM f WHERE r > 1 GROUP BY ALL""",
+        m AS (SELECT o, min(indx) i FROM h WHERE n = 1 GROUP BY o), q AS (SELECT o, l.p FROM m JOIN l ON l.indx = m.i)
+        SELECT other, shot, svs, coalesce(q.p, r.p) p FROM r LEFT JOIN q ON o = other UNION ALL SELECT NULL, shot, svs, p FROM l WHERE indx NOT IN (SELECT indx FROM h)""",
+    "sh_same_tables": """WITH f AS (SELECT fit_id, shot, shot_date, progid, channel, t_mid, te, vf, i0, resid, nits, maxits, ne18, count(*) n FROM probe_fits GROUP BY ALL)
+        SELECT fit_id, t_mid, 'a' AS side, n - 1 AS times FROM f WHERE n > 1""",
 }

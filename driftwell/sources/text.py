@@ -58,6 +58,11 @@ def line_faults(records: DataFrame, keys: Sequence[str], order: str) -> DataFram
     return records.withColumn("fault", change + back).dropDuplicates([c for c in records.columns if c != order])
 
 
+def json_fields(df: DataFrame, column: str, paths: dict[str, str]) -> DataFrame:
+    """df with a text column for each path into a JSON column."""
+    return df.withColumns({name: F.get_json_object(column, path) for name, path in paths.items()})
+
+
 def event_log(lines: DataFrame) -> DataFrame:
     """event, time, comment, leader of lines 'event; time; comment; leader'."""
     p = F.split("value", r"\s*;\s*")

@@ -1,9 +1,9 @@
 import pytest
 from compare import check, views
 
-from driftwell.plans import formats, mining, probes, problems, series, shots, signals
+from driftwell.plans import formats, mining, probes, problems, selection, series, shots, signals
 
-MODULES = (problems, series, mining, signals, probes, shots, formats)
+MODULES = (problems, series, mining, signals, probes, shots, formats, selection)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 
