@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Different terms of a passage in one band of offsets that make a candidate; fewer only for passages of fewer.
-NEED = 8
+NEED = 24
+#: Words of 64 bits in which the terms that hit are marked; longer passages keep them in sets.
+MARKS_AT_MOST = 32
 #: Terms of all passages, counted, up to which they are broadcast; beyond that they are joined by shuffling.
 BROADCAST_TERMS = 500_000
 #: Candidate pairs, counted, up to which they are broadcast to the texts; beyond that they are joined by shuffling.
@@ -117,6 +119,7 @@ def find_leaks(
     least = F.greatest(F.lit(1), F.least(exact, altered))  # terms that a text holding the passage has at least
     terms = tests.select("item", length.alias("__l"), least.cast("int").alias("__least"), F.inline(_terms("__p"))).withColumnRenamed("pos", "ipos")
     small = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
+    marks = 1 + 2 * (tests.agg(F.max(length)).first()[0] or 0) // 64
     postings = index if index is not None else positional_index(docs, "doc", "__text")
     # Only postings of the passages' terms go on; they are kept, as both the counts and the search need them.
     postings = postings.join(small(terms.select("term").distinct()), "term").persist(StorageLevel.MEMORY_AND_DISK)
@@ -128,7 +131,14 @@ def find_leaks(
     # Bands overlap by half, so that offsets that drift over a border still meet.
     bands = F.array(F.floor(F.col("__d") / F.col("__w")) * 2, F.floor((F.col("__d") + F.col("__l2")) / F.col("__w")) * 2 + 1)
     hits = hits.withColumn("__l2", F.expr("__w div 2")).select("doc", "item", "__k", "__need", F.explode(bands).alias("__band"))
-    near = hits.groupBy("doc", "item", "__band", "__need").agg(F.size(F.collect_set("__k")).alias("__hits")).where(F.col("__hits") >= F.col("__need"))
+    by = hits.groupBy("doc", "item", "__band", "__need")
+    if marks <= MARKS_AT_MOST:
+        bit = F.expr("shiftleft(1L, cast(__k % 64 as int))")
+        found = by.agg(*[F.bit_or(F.when(F.floor(F.col("__k") / 64) == m, bit).otherwise(F.lit(0).cast("long"))).alias(f"__m{m}") for m in range(marks)])
+        n_hits = sum((F.bit_count(f"__m{m}") for m in range(1, marks)), F.bit_count("__m0"))
+    else:
+        found, n_hits = by.agg(F.collect_set("__k").alias("__set")), F.size("__set")
+    near = found.where(n_hits >= F.col("__need"))
     pairs = near.select("doc", "item").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else (lambda df: df)
     postings.unpersist()

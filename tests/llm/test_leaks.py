@@ -63,6 +63,8 @@ def test_without_broadcasting_and_with_a_stored_index(spark, monkeypatch):
 
     want = run(spark, [PASSAGE, FILL, OTHER])
     monkeypatch.setattr(leaks, "BROADCAST_TERMS", 1)
+    monkeypatch.setattr(leaks, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(leaks, "MARKS_AT_MOST", 0)
     assert run(spark, [PASSAGE, FILL, OTHER]) == want == [(0, 1), (2, 2)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([PASSAGE, FILL, OTHER])], "doc_id long, text string")
     assert run(spark, [PASSAGE, FILL, OTHER], index=positional_index(docs, "doc_id", "text")) == want
