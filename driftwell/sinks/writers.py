@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,5 +65,32 @@ def to_jdbc(df: DataFrame, url: str, name: str, *, rows: int | None = None, chun
     (flat.limit(rows) if rows else flat).write.format("jdbc").options(url=url, dbtable=name, batchsize=chunk, **options).mode("append").save()
 
 
+def save_clusters(labels: DataFrame, settings: dict, path: str) -> None:
+    """Labels of a clustering as parquet, with its settings as JSON beside them."""
+    labels.write.mode("errorifexists").parquet(f"{path}/labels")
+    labels.sparkSession.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/settings")
+
+
+def load_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(labels, settings) as saved by save_clusters."""
+    return spark.read.parquet(f"{path}/labels"), json.loads(spark.read.text(f"{path}/settings").first()[0])
+
+
+def save_shot_list(shots: DataFrame, path: str) -> None:
+    """A shot catalogue as lines of JSON, which sources.archive.shot_catalogue reads."""
+    shots.write.mode("errorifexists").json(path)
+
+
+def save_samples(samples: DataFrame, path: str, by: Sequence[str] = ("device", "shot", "diag")) -> None:
+    """Samples as a partitioned cache, which sources.archive.cached reads; rows are brought together by partition first, so that each has one file."""
+    samples.repartition(*by).write.mode("errorifexists").partitionBy(*by).parquet(path)
+
+
+def save_objects(objects: dict[str, DataFrame], path: str) -> None:
+    """Several tables of one result (structures, pairs, settings) each under its name."""
+    for name, df in objects.items():
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
 def magnitude_phase(df: DataFrame, re: str, im: str, name: str) -> DataFrame:
     return df.withColumns({f"mag_{name}": F.hypot(re, im), f"phase_{name}": F.atan2(im, re)})

@@ -14,7 +14,11 @@ ARCHIVE = "dimensions array<long>, values array<double>, datatype string, label
 
 def json_signals(spark: SparkSession, path: str, *, short_scale: float = 1 / 3277.24) -> DataFrame:
     """file, label, utc_ns, signal of archive answers {dimensions, values}: short words are scaled; values beyond the times are dropped."""
-    a = spark.read.schema(ARCHIVE).json(path, multiLine=True).withColumn("file", F.input_file_name())
+    return decoded(spark.read.schema(ARCHIVE).json(path, multiLine=True).withColumn("file", F.input_file_name()), short_scale=short_scale)
+
+
+def decoded(a: DataFrame, *, short_scale: float = 1 / 3277.24) -> DataFrame:
+    """The same for answers that are read already: file and the columns of ARCHIVE."""
     pairs = a.select("file", "label", "datatype", F.posexplode(F.arrays_zip("dimensions", "values")).alias("i", "x")).select("file", "label", "i", F.col("x.dimensions").alias("utc_ns"), F.col("x.values").alias("v"), "datatype")
     return pairs.where("utc_ns is not null").select("file", "label", "i", "utc_ns", F.when(F.lower("datatype") == "short", F.col("v") * short_scale).otherwise(F.col("v")).alias("signal"))
 

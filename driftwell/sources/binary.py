@@ -5,7 +5,8 @@ from __future__ import annotations
 import bz2
 import io
 import re
-from collections.abc import Iterator, Sequence
+import zipfile
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 def records(spark: SparkSession, path: str, dtype: Sequence[tuple[str, str]]) -> DataFrame:
     """file, i and the fields of files of fixed-length records; names end in .bz2 for packed ones. One row of Arrow batches a file."""
+    return records_of(spark.read.format("binaryFile").load(path), dtype)
+
+
+def records_of(files: DataFrame, dtype: Sequence[tuple[str, str]]) -> DataFrame:
+    """The same for a table of path and content."""
     kind = np.dtype(list(dtype))
     spark_type = {"f": "double", "i": "long", "u": "long"}
     schema = ", ".join(["file string", "i long", *(f"{n} {spark_type[np.dtype(t).kind]}" for n, t in dtype)])
@@ -29,7 +35,7 @@ def records(spark: SparkSession, path: str, dtype: Sequence[tuple[str, str]]) ->
                     part = a[s : s + 65536]
                     yield pd.DataFrame({"file": f, "i": np.arange(s, s + len(part)), **{n: part[n].astype("float64" if np.dtype(t).kind == "f" else "int64") for n, t in dtype}})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, schema)
+    return files.select("path", "content").mapInPandas(work, schema)
 
 
 def joined_records(parts: Sequence[DataFrame]) -> DataFrame:
@@ -47,6 +53,33 @@ def digitiser_volts(word: Column, bits: int, full_range: float, *, signed: bool
 
 def npz_arrays(spark: SparkSession, path: str) -> DataFrame:
     """file, name, values (array of doubles) of the arrays in .npz files; object arrays are left out, nothing in them is run."""
+    return npz_arrays_of(spark.read.format("binaryFile").load(path))
+
+
+def signs_turned(arrays: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Arrays with the sign of the named ones turned, for channels that were wired the other way round."""
+    turned = F.transform("values", lambda x: -x)
+    return arrays.withColumn("values", F.when(F.col("name").isin(list(names)), turned).otherwise(F.col("values")))
+
+
+def zipped_text_arrays(files: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
+    """file, name, i, value of zip files (path, content) whose members are text arrays, one number a line or apart by spaces; ``names`` maps members to names."""
+    renamed = dict(names or {})
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for f, content in zip(b["path"], b["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in z.namelist():
+                        lines = [x.split("#")[0] for x in z.read(member).decode("utf-8", "replace").splitlines()]
+                        v = np.array([float(x) for line in lines for x in line.split()])
+                        yield pd.DataFrame({"file": f, "name": renamed.get(member, member), "i": np.arange(len(v)), "value": v})
+
+    return files.select("path", "content").mapInPandas(work, "file string, name string, i long, value double")
+
+
+def npz_arrays_of(files: DataFrame) -> DataFrame:
+    """The same for a table of path and content."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -60,7 +93,7 @@ def npz_arrays(spark: SparkSession, path: str) -> DataFrame:
                             continue
             yield pd.DataFrame(rows, columns=["file", "name", "values"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "file string, name string, values array<double>")
+    return files.select("path", "content").mapInPandas(work, "file string, name string, values array<double>")
 
 
 def quantise(values: np.ndarray, *, max_error: float = 3e-6) -> dict:

@@ -17,6 +17,13 @@ def delimited_samples(spark: SparkSession, path: str, *, channels: Sequence[str]
     return rows.select("i", F.get("p", F.lit(0)).try_cast("double").alias("timebase"), F.inline(pairs)).where("timebase is not null")
 
 
+def coordinates(lines: DataFrame, names: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Numbers of lines of coordinates, apart by spaces or commas; comments and lines that don't hold enough numbers are left out."""
+    p = F.split(F.trim("value"), r"[\s,]+")
+    rows = lines.where(~F.trim("value").startswith("#")).select(*[F.get(p, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)])
+    return rows.where(" and ".join(f"{n} is not null" for n in names))
+
+
 def headed_ascii(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFrame]:
     """(header, rows) of files with '# key = value' lines and comma-separated numbers; columns are named by the header's ValName and DimName."""
     lines = spark.read.text(path)
