@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
@@ -95,34 +96,62 @@ def _circular2(x: np.ndarray, c: np.ndarray, manhattan: bool = False) -> np.ndar
     return out
 
 
-def periodic_kmeans(points: DataFrame, k: int, *, starts: int = 3, passes: int = 40, tolerance: float = 0.2, manhattan: bool = False, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
-    """(centres, labels): k-means with wrapped distances; a centre is the direction of its members' mean. The start of least cost wins."""
-    best: tuple[float, np.ndarray] | None = None
-    for s in range(starts):
-        c = _start(points, k, seed + s)
-        dims, before = c.shape[1], math.inf
-        for _ in range(passes):
-
-            def sums(x: np.ndarray, c: np.ndarray = c) -> np.ndarray:
-                d = _circular2(x, c, manhattan)
+def _best_of_starts(
+    points: DataFrame, starts: Sequence[np.ndarray], *, parts: Callable[[np.ndarray], np.ndarray], distance: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    centre: Callable[[np.ndarray, np.ndarray], np.ndarray], passes: int, tolerance: Callable[[float], float],
+) -> np.ndarray:
+    """The centres of least cost among k-means from several starts, all of them moved in the same passes.
+
+    ``parts`` are what is summed over a centre's members, ``centre`` makes new centres of these sums and the number of members.
+    """
+    live = dict(enumerate(starts))
+    before = dict.fromkeys(live, math.inf)
+    best: tuple[float, int, np.ndarray] | None = None
+    for _ in range(passes):
+
+        def sums(x: np.ndarray, live: dict[int, np.ndarray] = live) -> np.ndarray:
+            y = parts(x)
+            out = []
+            for c in live.values():
+                d = distance(x, c)
                 near = d.argmin(axis=1)
-                out = np.zeros((len(c), 2 * x.shape[1] + 1))
-                out[:, 0] = np.bincount(near, weights=d[np.arange(len(x)), near], minlength=len(c))
-                for j in range(x.shape[1]):
-                    out[:, 1 + j] = np.bincount(near, weights=np.sin(x[:, j]), minlength=len(c))
-                    out[:, 1 + x.shape[1] + j] = np.bincount(near, weights=np.cos(x[:, j]), minlength=len(c))
-                return out
-
-            t = total(points, sums).reshape(len(c), 2 * dims + 1)
-            cost = float(t[:, 0].sum())
-            if best is None or cost < best[0]:
-                best = (cost, c)
-            full = np.hypot(t[:, 1 : 1 + dims], t[:, 1 + dims :]).sum(axis=1) > 0
-            c = np.where(full[:, None], np.arctan2(t[:, 1 : 1 + dims], t[:, 1 + dims :]), c)
-            if abs(before - cost) <= tolerance:
-                break
-            before = cost
-    centres = best[1]
+                columns = [d[np.arange(len(x)), near], np.ones(len(x)), *y.T]
+                out.append(np.stack([np.bincount(near, weights=v, minlength=len(c)) for v in columns], axis=1).ravel())
+            return np.concatenate(out)
+
+        t = total(points, sums)
+        moved, at = {}, 0
+        for i, c in live.items():
+            width = len(t) // sum(map(len, live.values()))
+            part = t[at : at + len(c) * width].reshape(len(c), width)
+            at += len(c) * width
+            cost = float(part[:, 0].sum())
+            if best is None or (cost, i) < best[:2]:
+                best = (cost, i, c)
+            if abs(before[i] - cost) > tolerance(cost):
+                new = centre(part[:, 2:], part[:, 1])
+                moved[i] = np.where(np.isfinite(new).all(axis=1)[:, None], new, c)
+            before[i] = cost
+        live = moved
+        if not live:
+            break
+    return best[2]
+
+
+def periodic_kmeans(points: DataFrame, k: int, *, starts: int = 10, passes: int = 40, tolerance: float = 0.2, manhattan: bool = False, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
+    """(centres, labels): k-means with wrapped distances; a centre is the direction of its members' mean. The start of least cost wins."""
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def centre(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        half = t.shape[1] // 2
+        full = np.hypot(t[:, :half], t[:, half:]).sum(axis=1) > 0
+        return np.where(full[:, None], np.arctan2(t[:, :half], t[:, half:]), np.nan)
+
+    centres = _best_of_starts(
+        points, [_start(points, k, seed + s) for s in range(starts)], parts=lambda x: np.column_stack([np.sin(x), np.cos(x)]), distance=lambda x, c: _circular2(x, c, manhattan),
+        centre=centre, passes=passes, tolerance=lambda cost: tolerance,
+    )
+    points.unpersist()
 
     def label(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = _circular2(x, centres, manhattan)
@@ -131,11 +160,22 @@ def periodic_kmeans(points: DataFrame, k: int, *, starts: int = 3, passes: int =
     return centres, labelled(points, label)
 
 
-def circle_kmeans(points: DataFrame, k: int, *, seed: int = 1, passes: int = 20) -> DataFrame:
-    """id, cluster: k-means|| on the cosines and sines of the angles."""
-    doubled = points.select("id", array_to_vector(F.flatten(F.transform("x", lambda a: F.array(F.cos(a), F.sin(a))))).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=passes, initMode="k-means||").fit(doubled)
-    return model.transform(doubled).select("id", F.col("prediction").alias("cluster"))
+def circle_kmeans(points: DataFrame, k: int, *, seed: int = 1, starts: int = 30, passes: int = 20) -> DataFrame:
+    """id, cluster: k-means on the cosines and sines of the angles, the start of least cost of ``starts``."""
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    doubled = lambda x: np.column_stack([np.cos(x), np.sin(x)])
+
+    def distance(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        y = doubled(x)
+        return np.maximum((y * y).sum(axis=1)[:, None] - 2 * y @ c.T + (c * c).sum(axis=1), 0.0)
+
+    def centre(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(n[:, None] > 0, t / np.maximum(n, 1)[:, None], np.nan)
+
+    first = [doubled(_start(points, k, seed + s)) for s in range(starts)]
+    centres = _best_of_starts(points, first, parts=doubled, distance=distance, centre=centre, passes=passes, tolerance=lambda cost: 1e-4 * cost)
+    points.unpersist()
+    return labelled(points, lambda x: (distance(x, centres).argmin(axis=1), np.sqrt(distance(x, centres).min(axis=1)))).select("id", "cluster")
 
 
 def whitened_kmeans(df: DataFrame, columns: Sequence[str], k: int, *, row_id: str, seed: int = 1) -> DataFrame:
@@ -182,15 +222,27 @@ class Mixture:
 
 
 def fit_mixture(
-    points: DataFrame, k: int, *, angles: int, hard: bool = False, passes: int = 30, least_passes: int = 3, tied: bool = False, start: np.ndarray | None = None, seed: int = 1,
+    points: DataFrame, k: int, *, angles: int, hard: bool = False, passes: int = 30, least_passes: int = 3, tied: bool = False, start: np.ndarray | None = None, starts: int = 1, seed: int = 1,
 ) -> tuple[Mixture, DataFrame]:
     """(mixture, labels) by expectation and maximisation; labels have the likeliest cluster and its probability.
 
     Concentrations stay in [0.1, 300], deviations in [0.001, 300]. It ends when means move by less than 0.01, widths by less than 0.2 and
     the likelihood by less than 1e-4 of itself, or after ``passes``. ``hard`` gives each row to one cluster, ``tied`` makes a cluster's
-    deviations equal (a spherical mixture).
+    deviations equal (a spherical mixture). Of several ``starts`` the likeliest wins.
     """
-    mu = start if start is not None else _start(points, k, seed, angles)
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    firsts = [start] if start is not None else [_start(points, k, seed + s, angles) for s in range(starts)]
+    model = max((_fitted(points, mu, angles, hard, passes, least_passes, tied) for mu in firsts), key=lambda m: m.log_likelihood)
+    points.unpersist()
+
+    def label(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z, _ = model.shares(x)
+        return z.argmax(axis=1), z.max(axis=1)
+
+    return model, labelled(points, label)
+
+
+def _fitted(points: DataFrame, mu: np.ndarray, angles: int, hard: bool, passes: int, least_passes: int, tied: bool) -> Mixture:
     k, dims = mu.shape
     width = np.where(np.arange(dims) < angles, 2.0, 1.0) * np.ones((k, dims))
     if angles < dims:
@@ -228,12 +280,7 @@ def fit_mixture(
         model = Mixture(angles, n / n.sum(), new_mu, new_width, ll, [*model.history, ll])
         if done:
             break
-
-    def label(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z, _ = model.shares(x)
-        return z.argmax(axis=1), z.max(axis=1)
-
-    return model, labelled(points, label)
+    return model
 
 
 def cluster_summary(labels: DataFrame) -> DataFrame:

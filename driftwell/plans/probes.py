@@ -88,19 +88,19 @@ def circle_kmeans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def periodic_kmeans(spark: SparkSession, folder: str) -> DataFrame:
-    return C.periodic_kmeans(_angles(spark, folder), 6, starts=2, passes=12)[1]
+    return C.periodic_kmeans(_angles(spark, folder), 6)[1]
 
 
 def von_mises(spark: SparkSession, folder: str) -> DataFrame:
-    return C.fit_mixture(_angles(spark, folder), 4, angles=4, passes=12)[1]
+    return C.fit_mixture(_angles(spark, folder), 4, angles=4)[1]
 
 
 def gaussians(spark: SparkSession, folder: str) -> DataFrame:
-    return C.fit_mixture(C.vectors(table(spark, folder, "features"), "indx", numbers=["freq", "kh", "p"]), 4, angles=0, passes=15)[1]
+    return C.fit_mixture(C.vectors(table(spark, folder, "features"), "indx", numbers=["freq", "kh", "p"]), 4, angles=0)[1]
 
 
 def joint_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return C.cluster(table(spark, folder, "features"), "EM_VMM_GMM", 4, row_id="indx", angles="phases", length=4, numbers=["freq"], passes=10)
+    return C.cluster(table(spark, folder, "features"), "EM_VMM_GMM", 4, row_id="indx", angles="phases", length=4, numbers=["freq"])
 
 
 def whitened_kmeans(spark: SparkSession, folder: str) -> DataFrame:
