@@ -123,6 +123,7 @@ def find_leaks(
     postings = index if index is not None else positional_index(docs, "doc", "__text")
     # Only postings of the passages' terms go on; they are kept, as both the counts and the search need them.
     postings = postings.join(small(terms.select("term").distinct()), "term").persist(StorageLevel.MEMORY_AND_DISK)
+    postings.count()  # made once, before several stages ask for them at the same time
     counts = postings.groupBy("term").agg(F.count("*").alias("n"))
     ranked = terms.join(counts, "term", "left").withColumn("__r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc(F.coalesce("n", F.lit(0))), "ipos", "gap")))
     need = F.least(F.lit(NEED), F.col("__least"))
