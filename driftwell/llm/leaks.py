@@ -128,7 +128,11 @@ def find_leaks(
     ranked = terms.join(counts, "term", "left").withColumn("__r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc(F.coalesce("n", F.lit(0))), "ipos", "gap")))
     need = F.least(F.lit(NEED), F.col("__least"))
     searching = ranked.where(F.col("__r") > F.col("__least") - need).select("term", "item", (F.col("ipos") * 2 + F.col("gap") - 1).alias("__k"), "ipos", "__l", need.alias("__need"))
-    hits = postings.join(small(searching), "term").select("doc", "item", "__k", (F.col("pos") - F.col("ipos")).alias("__d"), (2 * F.col("__l")).alias("__w"), "__need")
+    hits = postings.join(small(searching), "term")
+    # Texts with too few hits of a passage anywhere go first, by a bare count; only the others are brought together by bands.
+    enough = hits.groupBy("doc", "item").agg(F.count("*").alias("__n"), F.first("__need").alias("__least")).where(F.col("__n") >= F.col("__least")).select("doc", "item").persist(StorageLevel.MEMORY_AND_DISK)
+    narrow = F.broadcast if enough.count() <= BROADCAST_PAIRS else (lambda df: df)
+    hits = hits.join(narrow(enough), ["doc", "item"]).select("doc", "item", "__k", (F.col("pos") - F.col("ipos")).alias("__d"), (2 * F.col("__l")).alias("__w"), "__need")
     # Bands overlap by half, so that offsets that drift over a border still meet.
     bands = F.array(F.floor(F.col("__d") / F.col("__w")) * 2, F.floor((F.col("__d") + F.col("__l2")) / F.col("__w")) * 2 + 1)
     hits = hits.withColumn("__l2", F.expr("__w div 2")).select("doc", "item", "__k", "__need", F.explode(bands).alias("__band"))
@@ -143,6 +147,7 @@ def find_leaks(
     pairs = near.select("doc", "item").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else (lambda df: df)
     postings.unpersist()
+    enough.unpersist()
     rows = docs.join(few(pairs), "doc").join(small(tests), "item").select("doc", "item", "__p", words(F.col("__text")).alias("__t"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
