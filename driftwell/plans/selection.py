@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwell import registry as G
 from driftwell.operators import correlation as R
 from driftwell.operators import lookups as L
 from driftwell.operators import selection as W
@@ -220,10 +221,43 @@ def products(spark, folder):
     return R.products(_f(spark, folder), ["shot"], "freq", "kh").select("shot", "n", F.round("product", 3).alias("product"))
 
 
+def reduced(spark, folder):
+    """A summary of fits by its settings."""
+    f = table(spark, folder, "probe_fits").dropDuplicates(["fit_id"])
+    return G.reduced(f, ["shot"], {"n": ("n", "te"), "top": ("max", "te"), "mean": ("average", "te", 4), "spread": ("rms", "resid", 5)})
+
+
+def calibrated_by_settings(spark, folder):
+    """Known samples times the formula of their settings."""
+    return known(spark, folder).withColumn("signal", G.expression("-2.5 * signal + abs(timebase)", ["signal", "timebase"])).select("sample_id", F.col("signal").cast("float").alias("signal"))
+
+
+def named_steps(spark, folder):
+    """Operators applied by name."""
+    df, history = G.apply(_f(spark, folder), [("low_modes", {"below": 30.0}), ("many_values", {"least": 2})])
+    return df.select("indx", F.lit("; ".join(history)).alias("history"))
+
+
+@G.operator
+def low_modes(df, below):
+    return df.where(F.col("freq") < below)
+
+
+@G.operator
+def many_values(df, least):
+    return df.where(F.col("svs") >= least)
+
+
+def there_and_back(spark, folder):
+    f = _f(spark, folder).select("indx", F.lit(2.0).alias("r"), F.get("phases", F.lit(0)).cast("double").alias("phi"), "kh")
+    there = G.transformed(f, "cylindrical", "cartesian", ["r", "phi", "kh"], ["x", "y", "z"])
+    return G.transformed(there, "cartesian", "cylindrical", ["x", "y", "z"], ["r2", "phi2", "z2"]).select("indx", F.round("r2", 6).alias("r"), F.round("phi2", 5).alias("phi"), F.col("z2").alias("z"))
+
+
 QUERIES = {f"sel_{f.__name__}": f for f in (
     channels, channel_places, between, in_list, where_true, thinned, extract, with_time, attributes, members, overlapping, rotated, segment_times, sql_passthrough, in_own_band, combined,
     joined_clashing, common_columns, converted, merged_sets, near_plane, per_shot, combined_view, labels_of_shots, zipped_segments, sweep_channel, valid_setting, clock, puffs, kappa,
-    shots_of_paths, latest, correct_names, enriched, next_shots, zero_lag, regression, correlation_matrix, products,
+    shots_of_paths, latest, correct_names, enriched, next_shots, zero_lag, regression, correlation_matrix, products, reduced, calibrated_by_settings, named_steps, there_and_back,
 )}
 
 _K = """k AS (SELECT DISTINCT sample_id, series_id, shot, channel, timebase, signal FROM timeseries JOIN channels USING (channel)
@@ -289,5 +323,10 @@ SQL = {
     "sel_zero_lag": f"SELECT campaign, count(*) n, round(corr(x, y), 6) correlation FROM (SELECT campaign, {_FK.format(c='freq')} x, {_FK.format(c='kh')} y FROM features) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY campaign",
     "sel_regression": f"SELECT campaign, count(*) n, round(avg(x * y) / avg(x * x), 9) correlation FROM (SELECT campaign, {_FK.format(c='freq')} x, {_FK.format(c='kh')} y FROM features) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY campaign",
     "sel_correlation_matrix": _PAIRS,
+    "sel_reduced": f"""WITH f AS (SELECT shot, {_FK.format(c='te')} te, {_FK.format(c='resid')} resid FROM (SELECT DISTINCT ON (fit_id) * FROM probe_fits))
+        SELECT shot, count(te) n, max(te) AS top, round(avg(te), 4) mean, round(sqrt(avg(resid * resid)), 5) spread FROM f GROUP BY shot""",
+    "sel_calibrated_by_settings": f"WITH {_K} SELECT sample_id, CAST(-2.5::DOUBLE * signal + abs(timebase) AS FLOAT) AS signal FROM k",
+    "sel_named_steps": "SELECT indx, 'low_modes(below=30.0); many_values(least=2)' AS history FROM features WHERE freq < 30 AND svs >= 2",
+    "sel_there_and_back": "SELECT indx, CASE WHEN p IS NOT NULL THEN 2.0::DOUBLE END r, round(atan2(sin(p), cos(p)), 5) phi, kh AS z FROM (SELECT indx, phases[1]::DOUBLE p, kh FROM features)",
     "sel_products": f"SELECT shot, count(x * y) n, round(sum(x * y), 3) product FROM (SELECT shot, {_FK.format(c='freq')} x, {_FK.format(c='kh')} y FROM features) GROUP BY shot",
 }
