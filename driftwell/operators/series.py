@@ -112,11 +112,14 @@ def normalise(samples: DataFrame, keys: Sequence[str], *, channel: str = "channe
     if method in ("0", 0):
         return samples
     v = F.col(value)
-    of = {"rms": F.sqrt(F.avg(v * v).over(Window.partitionBy(*keys, channel))), "peak": F.max(F.abs(v)).over(Window.partitionBy(*keys, channel)), "var": F.var_pop(v).over(Window.partitionBy(*keys, channel))}
-    norm = of[method or "rms"]
-    rows = samples.withColumn("__n", norm)
-    by = F.col("__n") if separate else F.max("__n").over(Window.partitionBy(*keys))
-    return rows.withColumn(value, F.when(by != 0, v / by)).drop("__n")
+    of = {"rms": F.sqrt(F.avg(v * v)), "peak": F.max(F.abs(v)), "var": F.var_pop(v)}
+    by = [*keys, channel]
+    # One row a channel, summed in the tasks first, so that a shot that holds much of the table is never brought together.
+    norm = samples.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(of[method or "rms"].alias("__n"))
+    if not separate:
+        norm = norm.withColumn("__n", F.max("__n").over(Window.partitionBy(*[f"__{k}" for k in keys])))
+    rows = samples.join(norm, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])
+    return rows.withColumn(value, F.when(F.col("__n") != 0, v / F.col("__n"))).drop("__n", *[f"__{k}" for k in by])
 
 
 def integrate(samples: DataFrame, keys: Sequence[str], *, time: str = "timebase", value: str = "signal") -> DataFrame:
