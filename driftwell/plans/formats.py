@@ -90,7 +90,7 @@ def csv(spark: SparkSession, folder: str) -> DataFrame:
     to = scratch(spark, "csv")
     writers.write_csv(table(spark, folder, "features").select("indx", "svs", "kh", "phases"), to, about={"rows": "features"}, lengths={"phases": 2})
     back = text.inferred(spark.read.option("header", True).csv(f"{to}/rows"), ["indx", "svs", "kh", "phases_0", "phases_1"])
-    return back.select("indx", "svs", F.round("phases_1", 5).alias("phases_1"))
+    return back.select("indx", "svs", (F.round("phases_1", 5) + 0.0).alias("phases_1"))
 
 
 def clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +107,7 @@ def shot_list(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "shot_da").select(F.col("shot_date").alias("date"), "progid", "start_utc", "end_utc", F.col("comment_txt").alias("comment"))
     writers.save_shot_list(d, to)
     s = archive.shot_catalogue(spark, to)
-    return archive.program_times(s, s.select("date", "progid").distinct())
+    return archive.program_times(s, s.select("date", "progid").distinct()).where("n = 1 and start_utc is not null")
 
 
 def sample_cache(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,7 +227,7 @@ def times(spark: SparkSession, folder: str) -> DataFrame:
 
 def polar(spark: SparkSession, folder: str) -> DataFrame:
     f = table(spark, folder, "features").select("indx", F.cos(F.get("phases", F.lit(0)).cast("double")).alias("re"), F.sin(F.get("phases", F.lit(0)).cast("double")).alias("im"))
-    return writers.magnitude_phase(f, "re", "im", "z").select("indx", F.round("mag_z", 6).alias("mag"), F.round("phase_z", 4).alias("phase"))
+    return writers.magnitude_phase(f, "re", "im", "z").select("indx", F.round("mag_z", 6).alias("mag"), (F.round("phase_z", 4) + 0.0).alias("phase"))
 
 
 QUERIES = {f"io_{f.__name__}": f for f in (
@@ -241,9 +241,9 @@ SQL = {
     "io_saved": "SELECT indx, freq, phases[4] AS last_phase FROM features WHERE svs >= 3",
     "io_added": "SELECT indx, svs, svs * 2 AS twice FROM features",
     "io_replaced": "SELECT campaign, count(*) n, CAST(sum(CASE WHEN campaign = 2 THEN -svs ELSE svs END) AS BIGINT) svs FROM features WHERE campaign <> 2 OR svs > 2 GROUP BY campaign",
-    "io_csv": "SELECT indx, svs::BIGINT AS svs, round(phases[2]::DOUBLE, 5) phases_1 FROM features",
+    "io_csv": "SELECT indx, svs::BIGINT AS svs, round(phases[2]::DOUBLE, 5) + 0.0 AS phases_1 FROM features",
     "io_clusters": "SELECT indx, svs AS cluster, 5 AS k FROM features",
-    "io_shot_list": "SELECT shot_date AS date, progid, CASE WHEN count(*) = 1 THEN min(start_utc) END start_utc, count(*) n FROM shot_da WHERE shot_date IS NOT NULL AND progid IS NOT NULL GROUP BY ALL",
+    "io_shot_list": "SELECT shot_date AS date, progid, min(start_utc) start_utc, count(*) n FROM shot_da WHERE shot_date IS NOT NULL AND progid IS NOT NULL GROUP BY ALL HAVING count(*) = 1 AND min(start_utc) IS NOT NULL",
     "io_sample_cache": f"WITH {_K} SELECT sample_id, channel, signal FROM k JOIN channels USING (channel) WHERE diag = (SELECT min(diag) FROM channels)",
     "io_objects": "SELECT indx, shot, svs, len(phases) AS n_pairs FROM features",
     "io_binary_records": f"WITH {_K} SELECT series_id, timebase, signal FROM k",
@@ -255,7 +255,7 @@ SQL = {
         SELECT series_id, count(*) n, max(floor(signal) * 0.5::DOUBLE) highest FROM i WHERE i <= 256 GROUP BY series_id""",
     "io_fit_records": f"{probes._G} SELECT fit_id, channel, nits FROM g",
     "io_times": "SELECT rec_id, epoch_ns(strptime(shot_date::VARCHAR, '%Y%m%d')) AS ns FROM shot_da",
-    "io_polar": "SELECT indx, round(sqrt(pow(cos(p), 2) + pow(sin(p), 2)), 6) mag, round(atan2(sin(p), cos(p)), 4) phase FROM (SELECT indx, phases[1]::DOUBLE p FROM features)",
+    "io_polar": "SELECT indx, round(sqrt(pow(cos(p), 2) + pow(sin(p), 2)), 6) mag, round(atan2(sin(p), cos(p)), 4) + 0.0 AS phase FROM (SELECT indx, phases[1]::DOUBLE p FROM features)",
     "io_sine": "SELECT channel, CAST(i AS INTEGER) i, round(full_scale * sin(2 * pi() * i / 64), 6) AS signal FROM channels, range(64) t(i)",
     "io_lines": f"SELECT shot, count(*) n, round(sum(freq), 3) freq, CAST(sum(svs) AS BIGINT) svs, round(sum(phases[1]::DOUBLE), 2) first_phase FROM features WHERE {_OK} GROUP BY shot",
     "io_arff": "SELECT indx, 7 AS n_fields FROM features",

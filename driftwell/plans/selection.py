@@ -152,8 +152,8 @@ def labels_of_shots(spark, folder):
 
 def zipped_segments(spark, folder):
     """Segments of 32 samples of three signals of a shot beside each other."""
-    rows = S.segment(known(spark, folder).where("channel in ('I_COIL_M', 'I_COIL_S', 'IP_ROG')"), ["shot", "channel"], "timebase", 32)
-    z = L.zipped_segments({n: rows.where(F.col("channel") == c) for n, c in (("measured", "I_COIL_M"), ("corrected", "I_COIL_S"), ("sweep", "IP_ROG"))}, ["shot"], 32)
+    rows = S.segment(known(spark, folder).where("channel in ('BOLO_3', 'B_TOR', 'I_COIL_M')"), ["shot", "channel"], "timebase", 32)
+    z = L.zipped_segments({n: rows.where(F.col("channel") == c) for n, c in (("measured", "I_COIL_M"), ("corrected", "BOLO_3"), ("sweep", "B_TOR"))}, ["shot"], 32)
     return z.select("shot", "seg_id", F.array_max("measured").alias("measured_top"), F.array_min("corrected").alias("corrected_low"), F.array_max("sweep").alias("sweep_top"))
 
 
@@ -251,7 +251,7 @@ def many_values(df, least):
 def there_and_back(spark, folder):
     f = _f(spark, folder).select("indx", F.lit(2.0).alias("r"), F.get("phases", F.lit(0)).cast("double").alias("phi"), "kh")
     there = G.transformed(f, "cylindrical", "cartesian", ["r", "phi", "kh"], ["x", "y", "z"])
-    return G.transformed(there, "cartesian", "cylindrical", ["x", "y", "z"], ["r2", "phi2", "z2"]).select("indx", F.round("r2", 6).alias("r"), F.round("phi2", 5).alias("phi"), F.col("z2").alias("z"))
+    return G.transformed(there, "cartesian", "cylindrical", ["x", "y", "z"], ["r2", "phi2", "z2"]).select("indx", F.round("r2", 6).alias("r"), (F.round("phi2", 5) + 0.0).alias("phi"), F.col("z2").alias("z"))
 
 
 QUERIES = {f"sel_{f.__name__}": f for f in (
@@ -304,9 +304,9 @@ SQL = {
     "sel_per_shot": "SELECT indx, f.shot, most_steps FROM features f LEFT JOIN (SELECT shot, max(nits) most_steps FROM probe_fits GROUP BY shot) s ON f.shot = s.shot",
     "sel_combined_view": "SELECT shot, n_fits, n_records FROM (SELECT shot, count(DISTINCT fit_id) n_fits FROM probe_fits GROUP BY shot) JOIN (SELECT shot, count(*) n_records FROM features GROUP BY shot) USING (shot)",
     "sel_labels_of_shots": "SELECT indx, shot, CASE WHEN shot IN (SELECT shot FROM probe_fits WHERE shot IS NOT NULL) THEN svs END svs FROM features",
-    "sel_zipped_segments": f"""WITH {_K}, i AS (SELECT *, row_number() OVER (PARTITION BY shot, channel ORDER BY timebase) - 1 i FROM k WHERE channel IN ('I_COIL_M', 'I_COIL_S', 'IP_ROG')),
+    "sel_zipped_segments": f"""WITH {_K}, i AS (SELECT *, row_number() OVER (PARTITION BY shot, channel ORDER BY timebase) - 1 i FROM k WHERE channel IN ('BOLO_3', 'B_TOR', 'I_COIL_M')),
         s AS (SELECT shot, channel, i // 32 seg_id, count(*) n, max(signal) hi, min(signal) lo FROM i GROUP BY ALL HAVING n = 32)
-        SELECT shot, seg_id, max(hi) FILTER (WHERE channel = 'I_COIL_M') measured_top, max(lo) FILTER (WHERE channel = 'I_COIL_S') corrected_low, max(hi) FILTER (WHERE channel = 'IP_ROG') sweep_top
+        SELECT shot, seg_id, max(hi) FILTER (WHERE channel = 'I_COIL_M') measured_top, max(lo) FILTER (WHERE channel = 'BOLO_3') corrected_low, max(hi) FILTER (WHERE channel = 'B_TOR') sweep_top
         FROM s GROUP BY shot, seg_id HAVING count(*) = 3""",
     "sel_sweep_channel": f"""SELECT DISTINCT shot, channel, CASE WHEN channel = 'LP01' THEN 'v_own' WHEN channel = 'LP02' THEN 'v_set' ELSE {_steps("shot", [(a, f"'{v}'") for a, v in SWEEPS], "NULL")} END vsweep FROM probe_fits""",
     "sel_valid_setting": "WITH s(a, b, p, v) AS (VALUES " + ", ".join(f"({a or 'NULL'}::BIGINT, {b or 'NULL'}::BIGINT, {p}, '{v}')" for a, b, p, v in SETTINGS) + """)
@@ -327,6 +327,6 @@ SQL = {
         SELECT shot, count(te) n, max(te) AS top, round(avg(te), 4) mean, round(sqrt(avg(resid * resid)), 5) spread FROM f GROUP BY shot""",
     "sel_calibrated_by_settings": f"WITH {_K} SELECT sample_id, CAST(-2.5::DOUBLE * signal + abs(timebase) AS FLOAT) AS signal FROM k",
     "sel_named_steps": "SELECT indx, 'low_modes(below=30.0); many_values(least=2)' AS history FROM features WHERE freq < 30 AND svs >= 2",
-    "sel_there_and_back": "SELECT indx, CASE WHEN p IS NOT NULL THEN 2.0::DOUBLE END r, round(atan2(sin(p), cos(p)), 5) phi, kh AS z FROM (SELECT indx, phases[1]::DOUBLE p, kh FROM features)",
+    "sel_there_and_back": "SELECT indx, CASE WHEN p IS NOT NULL THEN 2.0::DOUBLE END r, round(atan2(sin(p), cos(p)), 5) + 0.0 AS phi, kh AS z FROM (SELECT indx, phases[1]::DOUBLE p, kh FROM features)",
     "sel_products": f"SELECT shot, count(x * y) n, round(sum(x * y), 3) product FROM (SELECT shot, {_FK.format(c='freq')} x, {_FK.format(c='kh')} y FROM features) GROUP BY shot",
 }

@@ -103,7 +103,7 @@ def derivative(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def remove_level(spark: SparkSession, folder: str) -> DataFrame:
-    return S.remove_level(known(spark, folder), KEYS, t0=-0.5, t1=0.25).select("sample_id", f32("signal"))
+    return S.remove_level(known(spark, folder), KEYS, t0=-0.5, t1=0.25).select("sample_id", (F.round("signal", 4) + 0.0).alias("signal"))
 
 
 def remove_tilt(spark: SparkSession, folder: str) -> DataFrame:
@@ -249,7 +249,7 @@ SQL = {
         b AS (SELECT *, avg(f * f) OVER w p FROM a WINDOW w AS ({_W} ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING)), m AS (SELECT *, avg(p) OVER (PARTITION BY series_id) m FROM b),
         o AS (SELECT *, avg(CASE WHEN p > 0.5 * m THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER ({_W} ROWS BETWEEN 8 PRECEDING AND 7 FOLLOWING) o FROM m)
         SELECT series_id, min(timebase) t_start, max(timebase) t_end, count(*) n_on FROM o WHERE o > 0.7::DOUBLE GROUP BY ALL""",
-    "ts_remove_level": f"{_C} SELECT sample_id, CAST(signal - avg(CASE WHEN timebase BETWEEN -0.5 AND 0.25 THEN signal END) OVER (PARTITION BY series_id) AS FLOAT) AS signal FROM k",
+    "ts_remove_level": f"{_C} SELECT sample_id, round(signal - avg(CASE WHEN timebase BETWEEN -0.5 AND 0.25 THEN signal END) OVER (PARTITION BY series_id), 4) + 0.0 AS signal FROM k",
     "ts_remove_tilt": f"""{_C}, n AS (SELECT *, avg(CASE WHEN timebase BETWEEN -0.5 AND 0.1 THEN timebase END) OVER p t0, avg(CASE WHEN timebase BETWEEN 0.3 AND 0.6 THEN timebase END) OVER p t1,
         avg(CASE WHEN timebase BETWEEN -0.5 AND 0.1 THEN signal END) OVER p v0, avg(CASE WHEN timebase BETWEEN 0.3 AND 0.6 THEN signal END) OVER p v1 FROM k WINDOW p AS (PARTITION BY series_id))
         SELECT series_id, count(x) n, round(max(x), 3) + 0.0 AS highest FROM (SELECT series_id, signal - (v0 + (v1 - v0) / nullif(t1 - t0, 0) * (timebase - t0)) x FROM n) GROUP BY ALL""",
