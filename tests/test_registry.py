@@ -70,6 +70,21 @@ def test_peaks_of_a_spectrum_by_brute_force(spark):
     assert np.allclose(got[0]["phases"], np.angle(z[:, best[0]])) and len(got[0]["dphase"]) == 2
 
 
+def test_peaks_of_spectra_of_fewer_than_five_components(spark):
+    rng = np.random.default_rng(3)
+    signals = {n: rng.normal(size=(3, n)) for n in range(4, 12)}
+    df = spark.createDataFrame([(7, n, 0.0, 0.001, x.tolist()) for n, x in signals.items()], "shot long, seg_id long, t0 double, dt double, signal array<array<double>>")
+    got = X.spectral_features(df, keys=["shot"], n_points=3).collect()
+    for n, x in signals.items():
+        z = np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * np.hanning(n), axis=1)
+        p = (np.abs(z) ** 2).mean(axis=0)
+        peaked = np.array([p[i] - p[max(0, i - 2) : i + 3].sum() / 5 for i in range(len(p))])
+        best = np.argsort(-peaked)[:3]
+        rows = sorted((r for r in got if r["seg_id"] == n), key=lambda r: r["place"])
+        assert np.allclose([r["freq"] for r in rows], best / (n * 0.001)) and np.allclose([r["peakedness"] for r in rows], peaked[best])
+        assert np.allclose([r["phases"] for r in rows], np.angle(z[:, best]).T)
+
+
 def test_pulse_at_a_level_between():
     t = np.arange(100.0)
     x = np.where((t >= 30) & (t < 60), 1.0, np.where(t % 10 == 0, 0.045, 0.001))
